@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 
 #: Settings that hold at any scale; sizes (cores, memory, partitions) belong to the cluster.
@@ -29,3 +33,17 @@ def get_session(app: str = "tessera", master: str | None = None, **conf: str) ->
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One Parquet table of a data folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give this package to the executors' Python workers, once a session; Spark serves the archive from the driver."""
+    context = spark.sparkContext
+    if getattr(context, "_tessera_shipped", False):
+        return
+    root = Path(__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="tessera-ship-")) / "tessera_package.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._tessera_shipped = True
