@@ -5,9 +5,14 @@ from __future__ import annotations
 import functools
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tessera.llm.bpe import bpe_encode
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.quality import quality_scores
+from tessera.llm.toxicity import toxicity_scores
 from tessera.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,10 +34,30 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text that they decode to."""
+    out = bpe_encode(spark, _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality."""
+    return quality_scores(spark, _documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's toxicity."""
+    return toxicity_scores(spark, _documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose sets of three-word shingles have a similarity of 85 % or more."""
     return near_duplicates(_documents(spark, sf_dir), shingle_words=3, percent=85)
 
 
-for _f in (op9_near_duplicates,):
+for _f in (op5_bpe, op6_quality, op8_toxicity, op9_near_duplicates):
     QUERIES[_f.__name__] = _shipped(_f)
