@@ -1,11 +1,68 @@
-"""A training-data pipeline over documents; its stages are filled in as their operators land."""
+"""A training-data pipeline over documents: quality, near duplicates, benchmark passages, personal data, tokens.
 
-STAGES: list = []
+Each stage takes (spark, docs, sf_dir) and works on every row that its predecessor kept; run() writes each
+stage's rows as Parquet in the shared folder and reads them again for the next one. All stages but the last
+return the columns of documents. Repeated rows that are one document (same id and text) are kept once by
+the near-duplicate stage; null and empty texts are judged like any other.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm.bpe import bpe_encode
+from tessera.llm.common import materialize
+from tessera.llm.decontaminate import drop_contaminated
+from tessera.llm.minhash import near_duplicates
+from tessera.llm.pii import pseudonymize
+from tessera.llm.quality import keep_good
+from tessera.session import ship_package
+
+#: SQL can't express a fitted classifier, sketches or merges: the stages are tested against brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    ship_package(spark)
+    return keep_good(spark, docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id."""
+    ship_package(spark)
+    groups = near_duplicates(docs)
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark item."""
+    ship_package(spark)
+    return drop_contaminated(spark, docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with pseudonyms in place of personal data; n_chars follows the text."""
+    out = pseudonymize(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and the digests of ids and decoded text of each document."""
+    ship_package(spark)
+    out = bpe_encode(spark, docs, public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pii", pii), ("bpe", bpe)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in order over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+        docs = materialize(stage(spark, docs, sf_dir))
     return docs

@@ -10,7 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode
+from tessera.llm.decontaminate import contamination
 from tessera.llm.minhash import near_duplicates
+from tessera.llm.pii import pii_report
 from tessera.llm.quality import quality_scores
 from tessera.llm.toxicity import toxicity_scores
 from tessera.session import ship_package
@@ -38,6 +40,11 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and benchmark item of which the document has a copy within the error budget."""
+    return contamination(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text that they decode to."""
     out = bpe_encode(spark, _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -59,5 +66,10 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_documents(spark, sf_dir), shingle_words=3, percent=85)
 
 
-for _f in (op5_bpe, op6_quality, op8_toxicity, op9_near_duplicates):
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with pseudonyms in place of its personal data."""
+    return pii_report(_documents(spark, sf_dir))
+
+
+for _f in (op3_decontaminate, op5_bpe, op6_quality, op8_toxicity, op9_near_duplicates, op10_pii):
     QUERIES[_f.__name__] = _shipped(_f)
