@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode
+from tessera.llm.classlm import lm_scores
 from tessera.llm.decontaminate import contamination
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.pii import pii_report
@@ -45,6 +46,11 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op4_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log probability under the class model, and under word frequencies alone."""
+    return lm_scores(spark, _documents(spark, sf_dir))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text that they decode to."""
     out = bpe_encode(spark, _documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
@@ -71,5 +77,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_documents(spark, sf_dir))
 
 
-for _f in (op3_decontaminate, op5_bpe, op6_quality, op8_toxicity, op9_near_duplicates, op10_pii):
+for _f in (op3_decontaminate, op4_class_lm, op5_bpe, op6_quality, op8_toxicity, op9_near_duplicates, op10_pii):
     QUERIES[_f.__name__] = _shipped(_f)
