@@ -8,9 +8,11 @@
    node only; pairs whose Jaccard estimate (corrected for register collisions) is far below the threshold
    go, the others are confirmed on the full sets, and components are formed.
 4. Only buckets whose members are still in several components can hide a further link between
-   components. Their members are compared across components, by sketch, in blocks of bounded size; what
-   passes is confirmed on full sets too. So every link of a banded pair counts, and no task holds a whole
-   bucket.
+   components. Small ones are compared across components by sketch, and what passes is confirmed on full
+   sets. Large ones that share members form one group, which is cut into blocks of bounded size; a task
+   gets the sketches and texts of two blocks, compares across components by sketch and confirms at once,
+   and passes on only the links that join components. So every link of a banded pair counts, no task
+   holds a whole bucket, and what tasks pass on grows with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -22,7 +24,6 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessera.llm.common import materialize, mix64, release, words
 from tessera.llm.components import connected_components
@@ -31,8 +32,8 @@ BANDS, ROWS, MANTISSA = 32, 4, 10
 REGISTERS = BANDS * ROWS
 #: Standard deviations of the estimate below the threshold at which a candidate is given up.
 MARGIN = 5.0
-#: Members of a bucket that one comparison task holds on each side.
-BLOCK = 512
+#: Members of buckets that are compared pair by pair; members of larger groups that a task holds on each side.
+SMALL, BLOCK = 64, 512
 #: Ids of 8 bytes up to which a list of documents is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -139,51 +140,81 @@ def _likely(least: float):
     return run
 
 
-def _across(least: float, cap: int):
-    """Likely pairs of different components from rows sorted by (key, i, j); a group has two blocks at most."""
-
-    def compare(group: dict, out: list) -> None:
-        side = np.array(group["block"])
-        regs = np.frombuffer(b"".join(group["regs"]), np.uint16).reshape(-1, REGISTERS)
-        r64 = regs.view(np.uint64)
-        n, roots, band, (i, j) = np.array(group["n"]), np.array(group["root"], object), group["band"][0], group["at"]
-        left = np.flatnonzero(side == i)
-        right = np.flatnonzero(side == j)
-        for x in left:
-            y = right[right > x] if i == j else right
-            y = y[roots[y] != roots[x]]
-            if not len(y):
-                continue
-            first = (r64[y, :band] == r64[x, :band]).any(axis=1)  # those met in an earlier band already
-            y = y[~first & (r64[y, band] == r64[x, band])]
-            if len(y):
-                y = y[estimate(regs[y], regs[[x]], n[y], n[[x]]) >= least]
-                out.extend((group["node"][x], group["node"][z]) for z in y)
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[list]]:
+    """Groups of rows that agree in their first `keys` columns, as columns, from rows sorted by these."""
+    at, rows = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(c).to_pylist() for c in range(batch.num_columns)), strict=True):
+            if row[:keys] != at:
+                if rows:
+                    yield [list(c) for c in zip(*rows, strict=True)]
+                at, rows = row[:keys], []
+            rows.append(row)
+    if rows:
+        yield [list(c) for c in zip(*rows, strict=True)]
+
+
+def _edges(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([min(p) for p in pairs], pa.binary()), pa.array([max(p) for p in pairs], pa.binary())], names=["a", "b"])
+
+
+def _across(least: float):
+    """Likely pairs of different components from a bucket's rows (key, node, root, regs, n, band)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, {}
-        schema = pa.schema([("a", pa.binary()), ("b", pa.binary())])
+        out: list = []
+        for _, node, root, raw, n, band in _groups(batches, 1):
+            regs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, REGISTERS)
+            r64, n, root, band = regs.view(np.uint64), np.array(n), np.array(root, object), band[0]
+            for x in range(len(node)):
+                y = np.arange(x + 1, len(node))
+                y = y[root[y] != root[x]]
+                # a pair that met in an earlier band has been compared there
+                y = y[~(r64[y, :band] == r64[x, :band]).any(axis=1)]
+                if len(y):
+                    y = y[estimate(regs[y], regs[[x]], n[y], n[[x]]) >= least]
+                    out.extend((node[x], node[z]) for z in y)
+            if len(out) > 10_000:
+                yield _edges(out)
+                out = []
+        if out:
+            yield _edges(out)
 
-        def done(out):
-            return pa.RecordBatch.from_arrays([pa.array([min(p) for p in out], pa.binary()), pa.array([max(p) for p in out], pa.binary())], schema=schema)
+    return run
 
-        for batch in batches:
-            out: list = []
-            cols = [batch.column(c).to_pylist() for c in range(9)]
-            for key, i, j, block, node, root, regs, n, band in zip(*cols, strict=True):
-                if (key, i, j) != at:
-                    if group:
-                        compare(group, out)
-                    at, group = (key, i, j), {"at": (i, j), "block": [], "node": [], "root": [], "regs": [], "n": [], "band": []}
-                for name, v in (("block", block), ("node", node), ("root", root), ("regs", regs), ("n", n), ("band", band)):
-                    group[name].append(v)
+
+def _cells(k: int, percent: int, least: float):
+    """Confirmed links that join components from two blocks of a large group: rows (super, i, j, block, node, root, regs, n, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, i, j, block, node, root, raw, n, text in _groups(batches, 3):
+            regs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, REGISTERS)
+            n, side = np.array(n), np.array(block)
+            comp = np.unique(np.array(root, object), return_inverse=True)[1]
+            sets: dict[int, np.ndarray] = {}
+
+            def of(x: int, sets=sets, text=text) -> np.ndarray:
+                if x not in sets:
+                    sets[x] = shingle_set(words(text[x]), k)
+                return sets[x]
+
+            out = []
+            for x in np.flatnonzero(side == i[0]):
+                y = np.flatnonzero(side == j[0])
+                if i[0] == j[0]:
+                    y = y[y > x]
+                y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                if len(y):
+                    y = y[estimate(regs[y], regs[[x]], n[y], n[[x]]) >= least]
+                for z in y:
+                    if comp[z] != comp[x]:
+                        s, t = of(x), of(z)
+                        both = len(np.intersect1d(s, t, assume_unique=True))
+                        if 100 * both >= percent * (len(s) + len(t) - both):
+                            comp[comp == comp[z]] = comp[x]
+                            out.append((node[x], node[z]))
             if out:
-                yield done(out)
-        out = []
-        if group:
-            compare(group, out)
-        if out:
-            yield done(out)
+                yield _edges(out)
 
     return run
 
@@ -217,21 +248,25 @@ def _confirm(k: int, percent: int):
 PAIRS = "a binary, b binary"
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs of nodes that the full texts confirm. reps: node, doc_id of one document that has its text."""
-    spark = pairs.sparkSession
-    need = materialize(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(reps, "node").select("node", F.col("doc_id").alias("rep")))
+def _texts(nodes: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
+    """(node, text) of the nodes, written. reps: node, doc_id of one document that has its text."""
+    need = materialize(nodes.join(reps, "node").select("node", F.col("doc_id").alias("rep")))
     few = need.count() <= BROADCAST_IDS
-    need_ids = F.broadcast(need) if few else need
-    full = docs.select("doc_id", "text").join(need_ids, F.col("doc_id") == F.col("rep"))
+    full = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, F.col("doc_id") == F.col("rep"))
     # rows that share an id may have different texts: the node tells which is meant
     full = materialize(full.select("node", "text").mapInArrow(_own(k), "node binary, text string").dropDuplicates(["node"]))
+    release(need)
+    return full
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs of nodes that the full texts confirm."""
+    full = _texts(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), docs, reps, k)
     a = full.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     b = full.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(a, "a").join(b, "b").select("a", "b", "text_a", "text_b")
     out = materialize(both.mapInArrow(_confirm(k, percent), PAIRS))
-    release(need, full)
-    assert spark is out.sparkSession
+    release(full)
     return out
 
 
@@ -272,17 +307,25 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     links = _verified(likely, docs, reps, shingle_words, percent)
     roots = materialize(connected_components(links))
 
-    where = members.join(roots, "node", "left").select("key", "node", "band", "members", F.coalesce("root", "node").alias("root"))
+    where = members.join(roots, "node", "left").select("key", "node", "band", "leader", "members", F.coalesce("root", "node").alias("root"))
     where = materialize(where)
     open_keys = where.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    some = where.join(open_keys, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    some = some.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    some = some.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "band").join(side, "node")
-    some = some.select("key", "i", "j", "block", "node", "root", "regs", "n", "band")
-    some = some.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = some.mapInArrow(_across(least, BLOCK), PAIRS).distinct().join(likely, ["a", "b"], "left_anti")
+    some = where.join(open_keys, "key")
+    small = some.filter(F.col("members") <= SMALL).join(side, "node").select("key", "node", "root", "regs", "n", "band")
+    more = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), PAIRS).distinct().join(likely, ["a", "b"], "left_anti")
     more_links = _verified(materialize(more), docs, reps, shingle_words, percent)
+
+    large = materialize(some.filter(F.col("members") > SMALL).select("node", "leader", "root"))
+    if not large.isEmpty():
+        groups = materialize(connected_components(large.select(F.col("leader").alias("a"), F.col("node").alias("b"))))
+        inside = large.select("node", "root").distinct().join(groups.withColumnRenamed("root", "super"), "node")
+        inside = materialize(inside)
+        sizes = inside.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+        inside = inside.join(sizes, "super").join(side, "node").join(_texts(inside.select("node"), docs, reps, shingle_words), "node")
+        inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        inside = inside.select("super", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "regs", "n", "text")
+        cells = inside.repartition("super", "i", "j").sortWithinPartitions("super", "i", "j")
+        more_links = materialize(more_links.unionAll(cells.mapInArrow(_cells(shingle_words, percent, least), PAIRS)))
     if not more_links.isEmpty():
         roots = materialize(connected_components(links.unionAll(more_links)))
     release(members, likely, where)
