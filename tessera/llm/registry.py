@@ -12,10 +12,13 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import bpe_encode
 from tessera.llm.classlm import lm_scores
 from tessera.llm.decontaminate import contamination
+from tessera.llm.fingerprint import fingerprint_report
+from tessera.llm.licenses import license_scan
 from tessera.llm.minhash import near_duplicates
 from tessera.llm.pii import pii_report
 from tessera.llm.quality import quality_scores
 from tessera.llm.toxicity import toxicity_scores
+from tessera.llm.urls import labelled_by_hosts, url_verdicts
 from tessera.session import ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,6 +44,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's exact fingerprint, and its edited text's."""
+    return fingerprint_report(_documents(spark, sf_dir))
+
+
+def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's verdict; the labels that the trees learn from come from listed words of host names."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return url_verdicts(pages, labelled_by_hosts(pages))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document and benchmark item of which the document has a copy within the error budget."""
     return contamination(spark, _documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -62,6 +76,11 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(spark, _documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's licence labels."""
+    return license_scan(_documents(spark, sf_dir))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's toxicity."""
     return toxicity_scores(spark, _documents(spark, sf_dir), _labels(spark, sf_dir))
@@ -77,5 +96,5 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_documents(spark, sf_dir))
 
 
-for _f in (op3_decontaminate, op4_class_lm, op5_bpe, op6_quality, op8_toxicity, op9_near_duplicates, op10_pii):
+for _f in (op1_fingerprints, op2_url_filter, op3_decontaminate, op4_class_lm, op5_bpe, op6_quality, op7_licenses, op8_toxicity, op9_near_duplicates, op10_pii):
     QUERIES[_f.__name__] = _shipped(_f)
