@@ -2,28 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.plans.base import ORACLE_SQL, QUERIES, query
+from tessera.plans import queries_aggregate, queries_expression, queries_function, queries_join, queries_json, queries_scan, queries_set, queries_table, queries_window  # noqa: F401
 from tessera.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    """Register a function under its own name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return register
-
 
 @query("""
 SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty,
