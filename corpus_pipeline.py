@@ -34,8 +34,16 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id."""
     ship_package(spark)
     groups = near_duplicates(docs)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+    groups = materialize(groups)
+    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
+    again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
+    again = materialize(again)
+    if again.isEmpty():
+        return kept
+    # rows that share an id: of those with equal texts one stays
+    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -75,18 +75,12 @@ def sketch(s: np.ndarray) -> np.ndarray:
     least = np.full(REGISTERS, np.iinfo(np.uint64).max, np.uint64)
     for i in range(0, len(s), 1024):
         np.minimum(least, (s[i : i + 1024, None] * _MUL + _ADD).min(axis=0), out=least)
-    least = mix_order(least)
     bits = np.frexp((least >> np.uint64(11)).astype(np.float64))[1]
     zeros = np.minimum(53 - bits, 63).astype(np.uint64)
     mantissa = (least << (zeros + np.uint64(1))) >> np.uint64(64 - MANTISSA)
     return ((zeros << np.uint64(MANTISSA)) | mantissa).astype(np.uint16)
 
 
-def mix_order(least: np.ndarray) -> np.ndarray:
-    """Register values as they are; a seam for tests that plant values."""
-    return least
-
-
 def estimate(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
     """Jaccard estimates of sketch pairs (rows), corrected for registers that agree by chance."""
     agree = (a == b).mean(axis=1)
