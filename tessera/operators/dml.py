@@ -41,12 +41,12 @@ def violations(df: DataFrame, constraints: Constraints, parents: dict[str, DataF
     """
     spark = df.sparkSession
     out = spark.createDataFrame([], "kind string, detail string, n long")
-    plain = [F.sum(F.when(F.col(c).isNull(), 1).otherwise(0)).alias(f"not null|{c}") for c in constraints.not_null]
-    plain += [F.sum(F.when(~F.coalesce(F.expr(c).cast("boolean"), F.lit(True)), 1).otherwise(0)).alias(f"check|{c}") for c in constraints.checks]
+    plain = [("not null", c, F.col(c).isNull()) for c in constraints.not_null]
+    plain += [("check", c, ~F.coalesce(F.expr(c).cast("boolean"), F.lit(True))) for c in constraints.checks]
     if plain:  # one pass for all that is told row by row
-        sums = df.agg(*plain)
-        pairs = F.explode(F.array(*(F.struct(F.lit(n.split("|", 1)[0]).alias("kind"), F.lit(n.split("|", 1)[1]).alias("detail"), F.coalesce(F.col(f"`{n}`"), F.lit(0)).alias("n")) for n in sums.columns)))
-        out = out.unionAll(sums.select(pairs.alias("p")).select("p.*").filter("n > 0"))
+        sums = df.agg(*(F.coalesce(F.sum(F.when(broken, 1).otherwise(0)), F.lit(0)).alias(f"b{i}") for i, (_, _, broken) in enumerate(plain)))
+        each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(detail).alias("detail"), F.col(f"b{i}").alias("n")) for i, (kind, detail, _) in enumerate(plain))))
+        out = out.unionAll(sums.select(each.alias("p")).select("p.*").filter("n > 0"))
     for key in constraints.unique:
         whole = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
         out = out.unionAll(whole.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("unique"), F.lit(", ".join(key)), "n"))
