@@ -1,11 +1,13 @@
-"""Table-valued sources: json_each and json_tree as lateral table functions, VALUES, importing and exporting SQLite files."""
+"""Table-valued sources: json_each and json_tree as table functions, importing SQLite files."""
 
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 EACH = "key string, value string, type string, atom string, id long, parent long, fullkey string, path string"
 
@@ -63,22 +65,37 @@ def walk(text: str | None, root: str = "$", deep: bool = True):
         yield row(k, v, None, root + _label(k), root)
 
 
-def _function(deep: bool):
-    class Walk:
-        def eval(self, text: str, root: str):
-            yield from walk(text, root or "$", deep)
+_KINDS = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
 
-    return F.udtf(Walk, returnType=EACH)
+
+def _beside(df: DataFrame, column: str, root: str, deep: bool) -> DataFrame:
+    """df's columns, repeated for each element, and the elements' columns: whole Arrow batches at a time."""
+    at, names = df.columns.index(column), [f.split()[0] for f in EACH.split(", ")]
+    fields = [*df.schema.fields, *(T.StructField(n, T.LongType() if k == pa.int64() else T.StringType()) for n, k in zip(names, _KINDS, strict=True))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            place, rows = [], []
+            for i, text in enumerate(batch.column(at).to_pylist()):
+                own = list(walk(text, root, deep))
+                rows.extend(own)
+                place.extend([i] * len(own))
+            if rows:
+                taken = batch.take(pa.array(place, pa.int64()))
+                cells = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), _KINDS, strict=True)]
+                yield pa.RecordBatch.from_arrays([*taken.columns, *cells], names=[f.name for f in fields])
+
+    return df.mapInArrow(run, T.StructType(fields))
 
 
 def json_each(df: DataFrame, column: str, root: str = "$") -> DataFrame:
     """df beside the children of a JSON column."""
-    return df.lateralJoin(_function(False)(F.col(column).outer(), F.lit(root)))
+    return _beside(df, column, root, False)
 
 
 def json_tree(df: DataFrame, column: str, root: str = "$") -> DataFrame:
     """df beside all elements of a JSON column."""
-    return df.lateralJoin(_function(True)(F.col(column).outer(), F.lit(root)))
+    return _beside(df, column, root, True)
 
 
 def read_sqlite(spark: SparkSession, path: str, table: str) -> DataFrame:
