@@ -35,14 +35,14 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     groups = near_duplicates(docs)
     groups = materialize(groups)
-    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("gone"), "left_anti")
-    again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("again"))
+    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again_id"))
     again = materialize(again)
     if again.isEmpty():
         return kept
     # rows that share an id: of those with equal texts one stays
-    same = F.col("doc_id").eqNullSafe(F.col("again"))
+    same = F.col("doc_id").eqNullSafe(F.col("_again_id"))
     return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
