@@ -96,5 +96,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_report(_documents(spark, sf_dir))
 
 
+#: All pairs that share a shingle, and all that can be reached: for small tables.
+ORACLE_SQL["op9_near_duplicates"] = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS t FROM documents
+), s AS (
+    SELECT DISTINCT doc_id, array_to_string(t[i:i + 2], ' ') AS shingle
+    FROM (SELECT doc_id, t, unnest(range(1, greatest(len(t) - 2, 1) + 1)) AS i FROM w WHERE len(t) > 0)
+), c AS (
+    SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+    SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+    SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), r(doc_id, root) AS (
+    SELECT doc_id, doc_id FROM documents
+    UNION
+    SELECT g.v, r.root FROM r JOIN (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e) g ON g.u = r.doc_id
+)
+SELECT r.doc_id, coalesce(any_value(c.n), 0) AS n_shingles, min(root) AS component_id, r.doc_id = min(root) AS kept
+FROM r LEFT JOIN c ON c.doc_id = r.doc_id GROUP BY r.doc_id"""
+
 for _f in (op1_fingerprints, op2_url_filter, op3_decontaminate, op4_class_lm, op5_bpe, op6_quality, op7_licenses, op8_toxicity, op9_near_duplicates, op10_pii):
     QUERIES[_f.__name__] = _shipped(_f)
