@@ -8,6 +8,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions import python
 from tessera.functions.core import affinity
 from tessera.operators import dml
 from tessera.plans.dialect import Parser, SqlError, _select, split_statements
@@ -66,6 +67,7 @@ class Connection:
         self._extra: dict[str, DataFrame] = {}
         for name, cls in (("tessera_json_each", _Each), ("tessera_json_tree", _Tree)):
             self.spark.udtf.register(name, F.udtf(cls, returnType=EACH))
+        python.register(self.spark)
 
     def register(self, name: str, data: DataFrame, types: dict[str, str] | None = None) -> None:
         """Make a DataFrame a table."""

@@ -68,6 +68,9 @@ select "name", [dept], `id` from emp where id = 0x02
 select count(*) from emp, dept
 select sum(salary) + count(*), dept || '!' from emp where dept is not null group by dept order by 2
 select name from emp where name = 'ANN' collate nocase
+select printf('%5d|%-5d|%05d|%+d|%x|%X|%o|%,d', 42, 42, 42, 42, 255, 255, 8, 1234567), printf('%.2f|%8.3f|%e|%g', 3.14159, 2.5, 12345.678, 0.0001)
+select printf('%s|%.2s|%10s|%-6s|', 'abc', 'abc', 'abc', 'abc'), printf('%q %Q %w', 'it''s', 'it''s', 'a"b'), printf('%d%% %c', 5, 'xyz'), printf('%d %s', 'nope')
+select id, printf('%s:%d', name, salary) from emp order by id
 select hex('a'), quote('it''s'), char(65, 66), unicode('A'), trim('  x '), ltrim('xxy', 'x')
 """
 
@@ -144,3 +147,14 @@ def test_foreign_keys_parameters_and_errors(spark):
         with pytest.raises(SqlError):
             own.execute(bad)
     assert "Physical Plan" in own.execute("explain query plan select * from k").fetchone()[0]
+
+
+def test_python_functions():
+    from tessera.functions.python import timediff, unistr
+
+    assert unistr(r"a\0041\u00e9\+01F600\\x") == "aAé😀\\x" and unistr(None) is None
+    with pytest.raises(ValueError, match="escape"):
+        unistr("bad \\q")
+    day = 86_400_000
+    assert timediff(31 * day, 0) == "+0000-01-00 00:00:00.000" and timediff(0, 31 * day) == "-0000-01-00 00:00:00.000"
+    assert timediff(400 * day + 3_723_004, 0) == "+0001-01-04 01:02:03.004" and timediff(5, 5) == "+0000-00-00 00:00:00.000"
