@@ -48,7 +48,7 @@ class _WordHash(dict):
     """64-bit hashes of words; forgets them all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h

@@ -40,7 +40,7 @@ def shape(word: str) -> str:
 
 class _Shapes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(shape(word).encode("utf-8", "surrogatepass"))
         return h
