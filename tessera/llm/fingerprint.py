@@ -66,9 +66,9 @@ def _with_next(rows: DataFrame, buckets: int) -> DataFrame:
     # at most a row for each range
     before = {b: order[i - 1] for i, b in enumerate(order)}
     known = [b for b in order if heads[b] is not None]
-    at = F.lit(None).cast("int")
-    for b in known:
-        at = F.when(F.col("doc_id") == heads[b], before[b]).otherwise(at)
+    # a flat map: one branch for each range would nest too deeply
+    kind = ids.schema["doc_id"].dataType
+    at = F.element_at(F.create_map(*(v for b in known for v in (F.lit(heads[b]).cast(kind), F.lit(before[b])))), F.col("doc_id")) if known else F.lit(None).cast("int")
     if len(known) < len(order):
         at = F.when(F.col("doc_id").isNull(), before[order[-1]]).otherwise(at)
     wanted = F.col("doc_id").isin([heads[b] for b in known]) if known else F.lit(False)
