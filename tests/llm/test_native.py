@@ -88,3 +88,12 @@ def test_pii(spark):
 def test_pseudonyms_are_a_bijection(spark):
     docs = spark.createDataFrame([(i, f"{1 + i // 100:03d}-45-{i % 10000 + 1:04d}") for i in range(3000)], "doc_id long, text string")
     assert pii_report(docs).select("text").distinct().count() == docs.select("text").distinct().count()
+
+
+def test_pii_addresses_before_full_stops(spark):
+    texts = ["mail joe@example.com. Then", "mail joe@example.com.", "see joe@example.com...", "joe@mail.example.com.\nNext", "joe@example.com.5", "joe@" + "a." * 50_000]
+    got = {r.doc_id: r for r in pii_report(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i in range(5):
+        want = re.sub(r"joe@(mail\.)?example", lambda m: re.sub("[a-z]", "[a-z0-9]", m[0].replace(".", "\\.")), re.escape(texts[i]).replace("\\.example", ".example"))
+        assert re.fullmatch(want, got[i].text) and "joe@" not in got[i].text and got[i].kinds == "email", got[i]
+    assert got[5].text == texts[5] and got[5].n_found == 0
