@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tessera.llm.bpe import bpe_encode
 from tessera.llm.common import materialize
 from tessera.llm.decontaminate import drop_contaminated
-from tessera.llm.minhash import near_duplicates
+from tessera.llm.minhash import near_duplicates, text_digest
 from tessera.llm.pii import pseudonymize
 from tessera.llm.quality import keep_good
 from tessera.session import ship_package
@@ -31,12 +31,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id."""
+    """One document of each group of near duplicates (five-word shingles, similarity 0.8): the one with the least id.
+
+    Rows are removed one by one: another text with the same id is judged by its own group.
+    """
     ship_package(spark)
-    groups = near_duplicates(docs)
+    groups = near_duplicates(docs, digests=True)
     groups = materialize(groups)
-    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone_id"), "left_anti")
+    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"), F.col("text_digest").alias("_gone_text")).distinct()
+    kept = docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
     again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again_id"))
     again = materialize(again)
     if again.isEmpty():

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import materialize, mix64, release, words
@@ -104,7 +104,8 @@ def _sketches(k: int):
                 sizes.append(len(s))
                 nodes.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 regs.append(sketch(s).tobytes() if len(s) else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "node", "regs"])
+            more = batch.schema.names[2:]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary()), *(batch.column(c) for c in more)], names=["doc_id", "n_shingles", "node", "regs", *more])
 
     return run
 
@@ -273,7 +274,12 @@ def _own(k: int):
     return run
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80) -> DataFrame:
+def text_digest() -> Column:
+    """128 bits of `text` as hexadecimal digits; with the id it tells apart the rows that near_duplicates judges."""
+    return F.md5(F.col("text").cast("binary"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80, digests: bool = False) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs (doc_id, text; further columns are ignored).
 
     Rows are linked when 100 * |A & B| >= percent * |A | B| over their sets of shingles (words between
@@ -281,12 +287,15 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     least doc_id that links reach; kept says whether it is the row's own. Null, empty and blank texts
     have no shingles, are linked with nothing and are kept. Rows that repeat an id and a text share a
     component; rows with a null id have their component's least id, or null if it has none, and are kept
-    only in the latter case. An empty table gives no rows.
+    only in the latter case. An empty table gives no rows. With `digests` a further column, text_digest,
+    tells which text of an id a row is.
     """
     docs = docs.select("doc_id", "text")
+    carried = {"text_digest": text_digest()} if digests else {}
     id_type = docs.schema["doc_id"].dataType.simpleString()
     least = least_estimate(percent)
-    sigs = materialize(docs.mapInArrow(_sketches(shingle_words), f"doc_id {id_type}, n_shingles long, node binary, regs binary"))
+    kinds = "".join(f", {c} string" for c in carried)
+    sigs = materialize(docs.select("*", *(v.alias(c) for c, v in carried.items())).mapInArrow(_sketches(shingle_words), f"doc_id {id_type}, n_shingles long, node binary, regs binary{kinds}"))
     distinct = materialize(sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
     bands = distinct.select("node", "regs").mapInArrow(_bands, "key long, node binary, band int")
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
@@ -328,6 +337,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80)
     linked = roots.join(labels, "root").select("node", "component_id")
     single = distinct.filter("copies > 1").join(roots, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
     known = linked.unionAll(single)
-    out = sigs.select("doc_id", "n_shingles", "node").join(known, "node", "left")
+    out = sigs.select("doc_id", "n_shingles", "node", *carried).join(known, "node", "left")
     component = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *carried)
