@@ -38,8 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     groups = near_duplicates(docs, digests=True)
     groups = materialize(groups)
-    gone = groups.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("_gone_id"), F.col("text_digest").alias("_gone_text")).distinct()
-    kept = docs.join(gone, (F.col("doc_id") == F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
+    gone = groups.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_digest").alias("_gone_text")).distinct()
+    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
     again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again_id"))
     again = materialize(again)
     if again.isEmpty():

@@ -34,7 +34,7 @@ REGISTERS = BANDS * ROWS
 MARGIN = 5.0
 #: Members of buckets that are compared pair by pair; members of larger groups that a task holds on each side.
 SMALL, BLOCK = 64, 512
-#: Ids of 8 bytes up to which a list of documents is broadcast; beyond it the join shuffles.
+#: Hashes of 8 bytes up to which a list of texts is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
 _seeds = np.random.Generator(np.random.PCG64(20240501))
@@ -244,11 +244,11 @@ PAIRS = "a binary, b binary"
 
 
 def _texts(nodes: DataFrame, docs: DataFrame, reps: DataFrame, k: int) -> DataFrame:
-    """(node, text) of the nodes, written. reps: node, doc_id of one document that has its text."""
-    need = materialize(nodes.join(reps, "node").select("node", F.col("doc_id").alias("rep")))
+    """(node, text) of the nodes, written. reps: node, hash of one text that it stands for; ids may be null or repeat."""
+    need = materialize(nodes.join(reps, "node").select("node", "rep"))
     few = need.count() <= BROADCAST_IDS
-    full = docs.select("doc_id", "text").join(F.broadcast(need) if few else need, F.col("doc_id") == F.col("rep"))
-    # rows that share an id may have different texts: the node tells which is meant
+    full = docs.select("text").join(F.broadcast(need) if few else need, F.xxhash64("text") == F.col("rep"))
+    # texts that share a hash may differ: the node tells which is meant
     full = materialize(full.select("node", "text").mapInArrow(_own(k), "node binary, text string").dropDuplicates(["node"]))
     release(need)
     return full
@@ -292,11 +292,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     """
     docs = docs.select("doc_id", "text")
     carried = {"text_digest": text_digest()} if digests else {}
+    passed = {"text_hash": F.xxhash64("text"), **carried}
     id_type = docs.schema["doc_id"].dataType.simpleString()
     least = least_estimate(percent)
-    kinds = "".join(f", {c} string" for c in carried)
-    sigs = materialize(docs.select("*", *(v.alias(c) for c, v in carried.items())).mapInArrow(_sketches(shingle_words), f"doc_id {id_type}, n_shingles long, node binary, regs binary{kinds}"))
-    distinct = materialize(sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
+    kinds = ", text_hash long" + "".join(f", {c} string" for c in carried)
+    sigs = materialize(docs.select("*", *(v.alias(c) for c, v in passed.items())).mapInArrow(_sketches(shingle_words), f"doc_id {id_type}, n_shingles long, node binary, regs binary{kinds}"))
+    distinct = materialize(sigs.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.min("text_hash").alias("rep"), F.min("regs").alias("regs"), F.min("n_shingles").alias("n"), F.count("*").alias("copies")))
     bands = distinct.select("node", "regs").mapInArrow(_bands, "key long, node binary, band int")
     shared = bands.groupBy("key").agg(F.min("node").alias("leader"), F.count("*").alias("members")).filter("members > 1")
     members = materialize(bands.join(shared, "key").select("key", "node", "band", "leader", "members"))
@@ -306,7 +307,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     b = side.select(F.col("node").alias("b"), F.col("regs").alias("rb"), F.col("n").alias("nb"))
     stars = members.filter("node != leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     likely = materialize(stars.join(b, "b").join(a, "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(least), PAIRS))
-    reps = distinct.select("node", "doc_id")
+    reps = distinct.select("node", "rep")
     links = _verified(likely, docs, reps, shingle_words, percent)
     roots = materialize(connected_components(links))
 
@@ -333,7 +334,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
         roots = materialize(connected_components(links.unionAll(more_links)))
     release(members, likely, where)
 
-    labels = roots.join(reps, "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
+    labels = roots.join(distinct.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = roots.join(labels, "root").select("node", "component_id")
     single = distinct.filter("copies > 1").join(roots, "node", "left_anti").select("node", F.col("doc_id").alias("component_id"))
     known = linked.unionAll(single)

@@ -88,3 +88,15 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 400)] + [(7, 7), (None, 3), (500, 501), (501, 502), (502, 500)]
     got = {r.node: r.root for r in connected_components(spark.createDataFrame(edges, "a long, b long").repartition(6)).collect()}
     assert all(got[i] == 1 for i in range(1, 41)) and all(got[i] == 100 for i in range(100, 400)) and got[502] == got[501] == 500
+
+
+@pytest.mark.parametrize("small", [64, 0])
+def test_null_ids_link_like_others(spark, monkeypatch, small):
+    monkeypatch.setattr(minhash, "SMALL", small)
+    base = [f"a{i}" for i in range(60)]
+    # each text is linked with the next one only, the second and third have no id
+    chain = [" ".join(base[i:] + [f"c{j}" for j in range(i)]) for i in (0, 4, 8, 12)]
+    rows = [(3, chain[0]), (None, chain[1]), (None, chain[2]), (5, chain[3]), (None, "alone in the world of texts"), (None, chain[0])]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
+    assert brute(rows, 3, 85) == sorted((r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got)
+    assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.component_id) == [(0, 3, False)] * 3 + [(3, 3, True), (5, 3, False)]

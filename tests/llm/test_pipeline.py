@@ -9,3 +9,10 @@ def test_near_dedup_judges_rows_not_ids(spark):
     got = corpus_pipeline.near_dedup(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted((r.doc_id, r.text or "") for r in got.collect()) == [(1, long), (7, clean), (9, "")]
+
+
+def test_near_dedup_removes_copies_without_ids(spark):
+    long = " ".join(f"a{i}" for i in range(60))
+    rows = [(1, long), (None, long), (None, long + " end"), (None, "no copy of anything"), (None, "no copy of anything"), (None, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == [(0, ""), (0, "no copy of anything"), (1, long)]
