@@ -16,8 +16,8 @@ portable("j3_hash", "SELECT s.s_nationkey, count(*) AS n, round(sum(l.l_extended
 portable("j4_theta", "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
 portable("j5_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000")
 portable("j6_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'")
-portable("j7_full", "SELECT a.k AS left_key, b.k AS right_key FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 3 = 0) a FULL JOIN (SELECT c_custkey AS k FROM customer WHERE c_custkey % 5 = 0) b ON a.k = b.k")
-portable("j8_using_full", "SELECT k, a.x, b.y FROM (SELECT c_custkey AS k, c_name AS x FROM customer WHERE c_custkey % 4 = 0) a FULL JOIN (SELECT o_custkey AS k, max(o_orderkey) AS y FROM orders GROUP BY o_custkey) b USING (k)")
+portable("j7_full", "SELECT c.c_custkey AS left_key, s.s_suppkey AS right_key FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey * 30")
+portable("j8_using_full", "SELECT k, a.x, b.y FROM (SELECT c_custkey AS k, c_name AS x FROM customer) a FULL JOIN (SELECT o_custkey * 2 AS k, max(o_orderkey) AS y FROM orders GROUP BY o_custkey) b USING (k)")
 portable("j10_semi", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
 portable("j11_anti_null_aware", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 4) FROM orders)")
 portable("j12_nested", "SELECT r.r_name, count(*) AS n FROM region r JOIN (nation n JOIN customer c ON c.c_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")

@@ -13,9 +13,9 @@ portable("o1_order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_ac
 portable("o3_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
 portable("o5_offset", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 15 OFFSET 30")
 portable("o6_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
-portable("o7_union", "SELECT c_nationkey AS k FROM customer WHERE c_custkey < 40 UNION SELECT s_nationkey FROM supplier WHERE s_suppkey < 10")
-portable("o7_intersect", "SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30")
-portable("o7_except", "SELECT n_nationkey AS k FROM nation EXCEPT SELECT s_nationkey FROM supplier WHERE s_suppkey < 30")
+portable("o7_union", "SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey * 30 FROM supplier")
+portable("o7_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey * 30 FROM supplier")
+portable("o7_except", "SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey * 30 FROM supplier")
 
 
 @query("SELECT k FROM ((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) INTERSECT SELECT s_nationkey FROM supplier)")
