@@ -1,18 +1,21 @@
 """Brown class-based n-gram scoring.
 
-A token is a frequent word, the end of a text, or a rare word; a rare word belongs to a type of its own form
-(its last letters). Exchange clustering assigns these types to classes: each type in turn moves to the
-class that gains the most likelihood of the class bigrams. A text's probability is the product of class
-transitions (a bigram mixed with the class unigram), of types within classes, and of rare words within
-their types, each smoothed; so the whole vocabulary and one unknown word for each type add up to one.
-
-All word counts come from the whole training part and stay distributed: only the counts of types, whose
-number is a parameter, reach the driver. Rare words meet their counts in a join of (document, word) rows,
-in which no word is frequent.
+A token is a frequent word, the end of a text, or a rare word. Exchange clustering assigns the largest types
+(frequent words, the end, and rare words by their last letters) to classes: each type in turn moves to the
+class that gains the most likelihood of the class bigrams. All other words follow: frequent ones by their
+neighbours' classes, then every rare word by its own neighbours' classes, in passes that begin with the class
+of its last letters. A text's probability is the product of class transitions (a bigram mixed with the class
+unigram) and of words within classes, each smoothed; so the whole vocabulary and one unknown word for each
+class add up to one. Only a word that the training part lacks has the class of its last letters.
+
+All word counts come from the whole training part and stay distributed: only the counts of types and
+classes, whose numbers are parameters, reach the driver. Rare words meet their counts, classes and rare
+neighbours in joins of (document, word) rows, in which no word is frequent.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -24,11 +27,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import held_out, materialize, text_only, words
+from tessera.llm.common import held_out, materialize, release, text_only, words
 
 #: Words that are types of their own, types that are clustered one by one, classes, rounds of exchange.
 FREQUENT, CLUSTERED, CLASSES, EXCHANGES = 50_000, 1_500, 64, 6
-#: Rare-word types: by so many last bytes; at most so many, the others are one type.
+#: Passes that assign every rare word by its neighbours' classes.
+PASSES = 2
+#: Rare-word types, with which the passes begin: by so many last bytes; at most so many, the others are one type.
 SUFFIX, SUFFIX_TYPES = 3, 2_000
 #: Weight of the class bigram against the class unigram; additive constants.
 MIX, ADD = 0.95, 0.1
@@ -178,6 +183,7 @@ def assign(right: np.ndarray, left: np.ndarray, cc: np.ndarray) -> np.ndarray:
 class Model:
     types: Types
     of: np.ndarray  # class of each type
+    full: np.ndarray  # counts of class bigrams
     step: np.ndarray  # log10 P(class | class before)
     emit: np.ndarray  # log10 P(type | class) of each type, and of the word where the type is one word
     base: np.ndarray  # base log10 probability of each frequent word and of the end
@@ -240,18 +246,26 @@ def train_model(docs: DataFrame, mod: int = 10, frequent: int = FREQUENT, cluste
     others = np.setdiff1d(np.arange(n), big)
     of[big] = of_group
     of[others] = assign(right[others], left[others], cc)
+    # once more with all neighbours, so that a type which met none of the largest has some
+    right, left = _type_class(train, types, of, k)
+    of[others] = assign(right[others], left[others], np.eye(k)[of].T @ right)
 
     full = _collect_pairs(train, types, of, k)
-    unigram = (full.sum(0) + ADD) / (full.sum() + ADD * k)
-    bigram = (full + ADD * unigram[None, :]) / (full.sum(1, keepdims=True) + ADD)
-    step = np.log10(MIX * bigram + (1 - MIX) * unigram[None, :])
+    step = _steps(full)
     in_class = np.bincount(of, weights=size, minlength=k)
     members = np.bincount(of, minlength=k)
     emit = np.log10((size + ADD) / (in_class[of] + ADD * members[of]))
     base_denominator = total + ADD * (vocabulary + 1)
     base = np.log10((np.append(types.counts, texts) + ADD) / base_denominator)
     inner = np.log10(size + ADD * (inside + 1))
-    return Model(types, of, step, emit, base, inner, base_denominator), rest, total, vocabulary
+    return Model(types, of, full, step, emit, base, inner, base_denominator), rest, total, vocabulary
+
+
+def _steps(full: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) from the counts of class bigrams."""
+    unigram = (full.sum(0) + ADD) / (full.sum() + ADD * len(full))
+    bigram = (full + ADD * unigram[None, :]) / (full.sum(1, keepdims=True) + ADD)
+    return np.log10(MIX * bigram + (1 - MIX) * unigram[None, :])
 
 
 def _type_class(train: DataFrame, types: Types, by_class: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -281,6 +295,210 @@ def _type_class(train: DataFrame, types: Types, by_class: np.ndarray, k: int) ->
     return right[:, :k], left[:, :k]
 
 
+@dataclass
+class Learned:
+    """The model with a class for every word; rare words' counts and classes are in a table beside it."""
+
+    types: Types
+    of: np.ndarray  # class of each type; of rare-word types: where unknown words go
+    step: np.ndarray  # log10 P(class | class before)
+    emit: np.ndarray  # log10 P(word | class) of frequent words and the end, by type
+    inside: np.ndarray  # log10 of the denominator of each class, that a count plus ADD is divided by
+    base: np.ndarray
+    base_denominator: float
+
+    def start(self, word: bytes) -> int:
+        return int(self.of[self.types.rare(word)])
+
+
+def _classes(tokens: list[bytes], types: Types, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Types and classes of a text's words between two ends; rare words have -1."""
+    get = types.words.get
+    x = np.fromiter((get(w, -1) for w in tokens), np.int64, len(tokens))
+    x = np.concatenate(([types.end], x, [types.end]))
+    return x, np.where(x < 0, -1, of[x])
+
+
+def _slot(i: int) -> bytes:
+    return i.to_bytes(2, "big")
+
+
+def _slots(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of the row and slot of every neighbour in a column of packed slots."""
+    raw = column.to_pylist()
+    return np.repeat(np.arange(len(raw)), [len(x) // 2 for x in raw]), np.frombuffer(b"".join(raw), ">i2").astype(np.int64)
+
+
+def _contexts(types: Types, of: np.ndarray, k: int):
+    """Rows (a, b, around, slot, n): counts n of class bigrams (slot) without rare words, where a is null; rare words' neighbours
+    with classes (packed in around: the class before, or k and the class after); counts n of pairs of rare words a, b."""
+    packed = [_slot(i) for i in range(2 * k)]
+
+    def rows(of_rows):
+        kinds = (pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int64())
+        while part := list(itertools.islice(of_rows, 20_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*part, strict=True), kinds, strict=True)], names=["a", "b", "around", "slot", "n"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = np.zeros(k * k, np.int64)
+        near: dict[bytes, bytearray] = {}
+        pairs: Counter = Counter()
+        held = 0
+
+        def flush():
+            yield from rows((w, None, bytes(x), None, None) for w, x in near.items())
+            yield from rows((a, b, None, None, n) for (a, b), n in pairs.items())
+            near.clear()
+            pairs.clear()
+
+        for batch in batches:
+            for text in batch.column(0):
+                tokens = words(text.as_py())
+                _, c = _classes(tokens, types, of)
+                both = (c[:-1] >= 0) & (c[1:] >= 0)
+                plain += np.bincount(c[:-1][both] * k + c[1:][both], minlength=k * k)
+                at = np.flatnonzero(c < 0)
+                held += len(at)
+                for p, before, after in zip(at.tolist(), c[at - 1].tolist(), c[at + 1].tolist(), strict=True):
+                    w = tokens[p - 1]
+                    if (x := near.get(w)) is None:
+                        near[w] = x = bytearray()
+                    if before >= 0:
+                        x += packed[before]
+                    if after >= 0:
+                        x += packed[k + after]
+                    else:
+                        pairs[w, tokens[p]] += 1
+                if held > FLUSH:
+                    yield from flush()
+                    held = 0
+        yield from flush()
+        yield from rows((None, None, None, i, int(plain[i])) for i in np.flatnonzero(plain).tolist())
+
+    return run
+
+
+def _begin(types: Types, of: np.ndarray):
+    """Adds the classes that words' last letters have to pairs (a, b, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            classes = [pa.array([int(of[types.rare(w)]) for w in batch.column(c).to_pylist()], pa.int32()) for c in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *classes], names=["a", "b", "n", "ca", "cb"])
+
+    return run
+
+
+def _best(cc: np.ndarray):
+    """Rows (word, n, class, slot) from rows (word, around) sorted by word: each word's class; and, with a null word, counts of classes by slot.
+
+    Slots from 2 k on are those of rare neighbours, whose classes may still change.
+    """
+    k = len(cc)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((k, 2 * k))
+
+        def chosen(names: list[bytes], m: np.ndarray) -> pa.RecordBatch:
+            left, right = m[:, :k] + m[:, 2 * k : 3 * k], m[:, k : 2 * k] + m[:, 3 * k :]
+            best = assign(right, left, cc)
+            np.add.at(sums, best, m[:, : 2 * k])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(left.sum(1).astype(np.int64)), pa.array(best, pa.int32()), pa.nulls(len(names), pa.int32())], names=["word", "n", "class", "slot"])
+
+        last: list[bytes] = []
+        rest = np.zeros((0, 4 * k))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 4_000):
+                part = batch.slice(i, 4_000)
+                coded = part.column(0).dictionary_encode()
+                names = coded.dictionary.to_pylist()
+                row, slot = _slots(part.column(1))
+                at = coded.indices.to_numpy()[row] * (4 * k) + slot
+                m = np.bincount(at, minlength=len(names) * 4 * k).astype(float).reshape(-1, 4 * k)
+                # the last word may go on in the next rows
+                if last == names[:1]:
+                    m[0] += rest[0]
+                elif last:
+                    yield chosen(last, rest)
+                last, rest = names[-1:], m[-1:].copy()
+                if len(names) > 1:
+                    yield chosen(names[:-1], m[:-1])
+        if last:
+            yield chosen(last, rest)
+        c, slot = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(c), pa.binary()), pa.array(sums[c, slot].astype(np.int64)), pa.array(c, pa.int32()), pa.array(slot, pa.int32())], names=["word", "n", "class", "slot"])
+
+    return run
+
+
+def _packed(slot: Column, n: Column) -> Column:
+    """n times the slot, as in `around`."""
+    return F.unhex(F.repeat(F.lpad(F.hex(slot), 4, "0"), n.cast("int")))
+
+
+def learn(docs: DataFrame, start: Model, total: int, mod: int = 10) -> tuple[Learned, DataFrame]:
+    """The model with classes learned for every training word, and (word, n, class) of the rare words."""
+    types, of, k = start.types, start.of, len(start.step)
+    train = docs.filter(~held_out("doc_id", mod)).select("text")
+    met = materialize(train.mapInArrow(_contexts(types, of, k), "a binary, b binary, around binary, slot int, n long"))
+    plain = np.zeros(k * k)
+    rows = met.filter("a is null").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    plain[rows.column("slot").to_numpy()] = rows.column("n").to_numpy()
+    near = met.filter("a is not null and b is null").select(F.col("a").alias("word"), "around")
+    pairs = met.filter("b is not null").select("a", "b", "n")
+    linked = materialize(pairs.mapInArrow(_begin(types, of), "a binary, b binary, n long, ca int, cb int"))
+    full = start.full
+    for _ in range(PASSES):
+        ends = F.array(F.struct(F.col("a").alias("word"), _packed(F.col("cb") + 3 * k, F.col("n")).alias("around")), F.struct(F.col("b").alias("word"), _packed(F.col("ca") + 2 * k, F.col("n")).alias("around")))
+        around = near.unionAll(linked.select(F.explode(ends).alias("e")).select("e.word", "e.around")).repartition("word").sortWithinPartitions("word")
+        given = materialize(around.mapInArrow(_best(full), "word binary, n long, class int, slot int"))
+        release(linked)
+        rare = given.filter("word is not null").select("word", "n", "class")
+        a = rare.select(F.col("word").alias("a"), F.col("class").alias("ca"))
+        b = rare.select(F.col("word").alias("b"), F.col("class").alias("cb"))
+        linked = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", "n", "ca", "cb"))
+        full = plain.reshape(k, k).copy()
+        for r in given.filter("word is null").groupBy("class", "slot").agg(F.sum("n").alias("n")).collect():
+            full[(r["slot"], r["class"]) if r["slot"] < k else (r["class"], r["slot"] - k)] += r["n"]
+        for r in linked.groupBy("ca", "cb").agg(F.sum("n").alias("n")).collect():
+            full[r["ca"], r["cb"]] += r["n"]
+    release(linked, met)
+    # frequent words and the end, then the rare words of each class and one unknown word
+    own = np.append(np.arange(len(types.words)), types.end)
+    texts = total - (rare.agg(F.sum("n")).first()[0] or 0) - types.counts.sum()
+    size = np.zeros(types.n)
+    size[own] = np.append(types.counts, texts)
+    in_class = np.bincount(of[own], weights=size[own], minlength=k)
+    members = np.bincount(of[own], minlength=k)
+    for r in rare.groupBy("class").agg(F.sum("n").alias("n"), F.count("*").alias("v")).collect():
+        in_class[r["class"]] += r["n"]
+        members[r["class"]] += r["v"]
+    inside = np.log10(in_class + ADD * (members + 1))
+    return Learned(types, of, _steps(full), np.log10(size + ADD) - inside[of], inside, start.base, start.base_denominator), rare
+
+
+def _met(shared):
+    """(row, log, base, met) of rare words and of pairs of them, from rows (row, tf, a, b, slots, n): their classes, b is -1 where there is one word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        k = len(m.step)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            tf, a, b, n = (batch.column(i).to_numpy(zero_copy_only=False) for i in (1, 2, 3, 5))
+            pair = b >= 0
+            row, s = _slots(batch.column(4))
+            c = a[row]
+            near = np.where(s < k, m.step[s % k, c], m.step[c, s % k])
+            base = np.where(pair, 0.0, tf * np.log10(n + ADD))
+            log = np.bincount(row, weights=near, minlength=batch.num_rows) + np.where(pair, tf * m.step[a, b], base - tf * m.inside[a])
+            known = np.where(pair | (n == 0), 0, tf)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(log), pa.array(base), pa.array(known, pa.int64())], names=["row", "log", "base_log", "met"])
+
+    return run
+
+
 def lm_scores(spark: SparkSession, docs: DataFrame, mod: int = 10, frequent: int = FREQUENT, clustered: int = CLUSTERED, classes: int = CLASSES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs (doc_id, text).
 
@@ -290,51 +508,62 @@ def lm_scores(spark: SparkSession, docs: DataFrame, mod: int = 10, frequent: int
     no rows.
     """
     docs = text_only(docs, "doc_id", "text")
-    made, rest, total, _ = train_model(docs, mod, frequent, clustered, classes)
+    start, _, total, _ = train_model(docs, mod, frequent, clustered, classes)
+    made, rare = learn(docs, start, total, mod)
     shared = spark.sparkContext.broadcast(made)
     id_field = docs.schema["doc_id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A row of sums for each text, and a row for each of its rare words; both have the text's own number."""
+        """A row of sums for each text, one for each of its rare words with their neighbours' classes, one for each pair of rare words."""
         m = shared.value
         t = m.types
-        get, rare, first = t.words.get, t.rare, len(t.words)
+        first, k = len(t.words), len(m.step)
+        packed = [_slot(i) for i in range(2 * k)]
         for batch in batches:
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows: list[tuple] = []
                 for doc, text, row in zip(part.column(0).to_pylist(), part.column(1), part.column(2).to_pylist(), strict=True):
                     tokens = words(text.as_py())
-                    odd: Counter = Counter()
-                    ids = [t.end]
-                    for w in tokens:
-                        if (i := get(w)) is None:
-                            odd[w] += 1
-                            i = rare(w)
-                        ids.append(i)
-                    ids.append(t.end)
-                    x = np.array(ids, np.int64)
-                    c = m.of[x]
-                    score = float(m.step[c[:-1], c[1:]].sum() + m.emit[x[1:]].sum())
-                    # the counts of rare words come by the join; what they are divided by is known here
-                    score -= sum(n * float(m.inner[rare(w)]) for w, n in odd.items())
-                    known = x[1:-1][x[1:-1] < first]
-                    base = float(m.base[known].sum() + m.base[first]) - sum(odd.values()) * math.log10(m.base_denominator)
-                    rows.append((row, doc, None, 0, len(tokens) + 1, len(known) + (1 if total else 0), base, score))
-                    rows.extend((row, None, w, n, 0, 0, 0.0, 0.0) for w, n in odd.items())
-                cols = list(zip(*rows, strict=True))
-                kinds = [pa.int64(), part.schema.field(0).type, pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["row", "doc_id", "word", "tf", "n_tokens", "n_known", "base", "score"])
-
-    schema = T.StructType([T.StructField("row", T.LongType()), id_field, T.StructField("word", T.BinaryType()), T.StructField("tf", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("base", T.DoubleType()), T.StructField("score", T.DoubleType())])
+                    x, c = _classes(tokens, t, m.of)
+                    both = (c[:-1] >= 0) & (c[1:] >= 0)
+                    known = x[1:-1][x[1:-1] >= 0]
+                    odd: dict[bytes, bytearray] = {}
+                    pairs: Counter = Counter()
+                    tf: Counter = Counter()
+                    places = np.flatnonzero(c < 0)
+                    for p, before, after in zip(places.tolist(), c[places - 1].tolist(), c[places + 1].tolist(), strict=True):
+                        w = tokens[p - 1]
+                        tf[w] += 1
+                        slots = odd.setdefault(w, bytearray())
+                        if before >= 0:
+                            slots += packed[before]
+                        if after >= 0:
+                            slots += packed[k + after]
+                        else:
+                            pairs[w, tokens[p]] += 1
+                    score = float(m.step[c[:-1][both], c[1:][both]].sum() + m.emit[known].sum() + m.emit[t.end])
+                    base = float(m.base[known].sum() + m.base[first]) - len(places) * math.log10(m.base_denominator)
+                    rows.append((row, doc, None, None, 0, None, None, None, len(tokens) + 1, len(known) + (1 if total else 0), base, score))
+                    rows.extend((row, None, w, None, tf[w], m.start(w), None, bytes(slots), 0, 0, 0.0, 0.0) for w, slots in odd.items())
+                    rows.extend((row, None, v, w, n, m.start(v), m.start(w), b"", 0, 0, 0.0, 0.0) for (v, w), n in pairs.items())
+                kinds = [pa.int64(), part.schema.field(0).type, pa.binary(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
+                yield pa.RecordBatch.from_arrays([pa.array(col, kind) for col, kind in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+    names = ["row", "doc_id", "word", "other", "tf", "start", "start2", "slots", "n_tokens", "n_known", "base", "score"]
+    long, real, binary, whole = T.LongType(), T.DoubleType(), T.BinaryType(), T.IntegerType()
+    schema = T.StructType([T.StructField(c, kind) for c, kind in zip(names, (long, id_field.dataType, binary, binary, long, whole, whole, binary, long, long, real, real), strict=True)])
     # written once: the rows' numbers must be the same in both uses
     parts = materialize(docs.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, schema))
     sums = parts.filter("word is null").select("row", "doc_id", "n_tokens", "n_known", "base", "score")
-    odd = parts.filter("word is not null").select("row", "word", "tf").join(rest, "word", "left")
-    log = F.log10(F.coalesce("n", F.lit(0)) + F.lit(ADD)) * F.col("tf")
-    odd = odd.groupBy("row").agg(F.sum(log).alias("log"), F.sum(F.when(F.col("n") > 0, F.col("tf")).otherwise(0)).alias("met"))
+    class_a = F.coalesce("class", "start").alias("a")
+    odd = parts.filter("word is not null and other is null").join(rare, "word", "left").select("row", "tf", class_a, F.lit(-1).alias("b"), "slots", F.coalesce("n", F.lit(0)).alias("n"))
+    pairs = parts.filter("other is not null").join(rare.select("word", "class"), "word", "left").join(rare.select(F.col("word").alias("other"), F.col("class").alias("class2")), "other", "left")
+    pairs = pairs.select("row", "tf", class_a, F.coalesce("class2", "start2").alias("b"), "slots", F.lit(0).cast("long").alias("n"))
+    odd = odd.unionAll(pairs).mapInArrow(_met(shared), "row long, log double, base_log double, met long")
+    odd = odd.groupBy("row").agg(F.sum("log").alias("log"), F.sum("base_log").alias("base_log"), F.sum("met").alias("met"))
     out = sums.join(odd, "row", "left")
     return out.select(
         "doc_id", held_out("doc_id", mod).alias("held_out"), "n_tokens", (F.col("n_known") + F.coalesce("met", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + F.coalesce("log", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("log", F.lit(0.0))).alias("score"),
+        (F.col("base") + F.coalesce("base_log", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("log", F.lit(0.0))).alias("score"),
     )

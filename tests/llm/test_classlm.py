@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 
 from tessera.llm import classlm
-from tessera.llm.classlm import exchange, lm_scores, train_model
+from tessera.llm.classlm import exchange, learn, lm_scores, train_model
 
 
 def test_scores_and_base(spark):
@@ -51,3 +51,45 @@ def test_exchange_separates_blocks():
     pairs[6:, 6:] = rng.integers(20, 60, (6, 6))
     of = exchange(pairs, 2, 10)
     assert len(set(of[:6])) == 1 and len(set(of[6:])) == 1 and of[0] != of[6]
+
+
+def test_every_word_has_a_class_from_its_neighbours(spark):
+    def text(i):
+        # rare words of two kinds (f after "the", g after "to") end alike; some stand next to each other
+        one = lambda f, j: f"{f}{(i * 7 + j * 3) % 40}end" + (f" {f}{(i + j) % 40}end" if j % 5 == 0 else "")
+        return " ".join(f"the {one('f', j)} is to {one('g', j)} now the cat is to go now" for j in range(12))
+
+    rows = [(i, text(i)) for i in range(80)] + [(80, None), (81, "unseen words the cat unseen"), (82, "f3end g3end to nothing")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    args = {"frequent": 8, "clustered": 20, "classes": 9}
+    start, rest, total, _ = train_model(docs, **args)
+    m, rare = learn(docs, start, total)
+    table = {bytes(r.word): (r.n, r["class"]) for r in rare.collect()}
+    assert {w: n for w, (n, _) in table.items()} == {bytes(r.word): r.n for r in rest.collect()}
+    groups = [{c for w, (n, c) in table.items() if w.startswith(f) and w.endswith(b"end") and n > 5} for f in (b"f", b"g")]
+    assert groups[0] and groups[1] and not groups[0] & groups[1]
+
+    def word_class(w):
+        if w is None:
+            return m.of[m.types.end]
+        return m.of[m.types.words[w]] if w in m.types.words else table[w][1] if w in table else m.start(w)
+
+    def emitted(w):
+        if w is None or w in m.types.words:
+            return m.emit[m.types.end if w is None else m.types.words[w]]
+        return math.log10(table.get(w, (0, 0))[0] + classlm.ADD) - m.inside[word_class(w)]
+
+    for c in range(9):
+        known = [w for w in [None, *m.types.words, *table] if word_class(w) == c]
+        assert abs(sum(10 ** emitted(w) for w in known) + classlm.ADD / 10 ** m.inside[c] - 1) < 1e-9
+    held = lambda i: zlib.crc32(str(i).encode()) % 10 == 0
+    full = np.zeros((9, 9))
+    for i, t in rows:
+        own = [None, *(t or "").encode().lower().split(), None]
+        for v, w in zip(own, own[1:], strict=False):
+            full[word_class(v), word_class(w)] += not held(i)
+    assert np.allclose(m.step, classlm._steps(full))
+    for r in lm_scores(spark, docs, **args).collect():
+        own = [None, *(dict(rows)[r.doc_id] or "").encode().lower().split(), None]
+        want = sum(m.step[word_class(v), word_class(w)] + emitted(w) for v, w in zip(own, own[1:], strict=False))
+        assert math.isclose(r.score, want, rel_tol=1e-9), r
