@@ -19,7 +19,8 @@ PHRASES = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights r
 #: Licences: identifier, keyword, and the name as words; v stands for the version, its parts apart.
 FAMILIES = (
     ("gpl-{v}", "gnu", "gnu general public license", ("1.0", "2.0", "3.0")),
-    ("lgpl-{v}", "lesser", "gnu (?:lesser|library) general public license", ("2.0", "2.1", "3.0")),
+    ("lgpl-{v}", "lesser", "gnu lesser general public license", ("2.0", "2.1", "3.0")),
+    ("lgpl-{v}", "library", "gnu library general public license", ("2.0", "2.1", "3.0")),
     ("agpl-{v}", "affero", "gnu affero general public license", ("1.0", "3.0")),
     ("gfdl-{v}", "documentation", "gnu free documentation license", ("1.1", "1.2", "1.3")),
     ("apache-{v}", "apache", "apache (?:software )?license", ("1.0", "1.1", "2.0")),
@@ -51,7 +52,7 @@ SINGLE = (
     ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)(?: license)?"), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|(?:new|revised|modified) bsd)(?: license)?"),
     ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)(?: license)?"), ("0bsd", "bsd", "(?:zero clause bsd|0 clause bsd|bsd zero clause)(?: license)?"), ("bsd", "bsd", "bsd license"),
     ("unlicense", "unlicense", "unlicense"), ("wtfpl", "wtfpl", "wtfpl"), ("cc0", "cc0", "cc0(?: 1 0)?(?: universal)?"), ("x11", "x11", "x11 license"), ("ncsa", "ncsa", "(?:university of illinois )?ncsa(?: open source)? license"),
-    ("postgresql", "postgresql", "postgresql license"), ("openssl", "openssl", "openssl license"), ("ruby", "ruby", "ruby license"), ("vim", "vim", "vim license"), ("beerware", "beer", "beer ?ware license"), ("json", "json", "json license"),
+    ("postgresql", "postgresql", "postgresql license"), ("openssl", "openssl", "openssl license"), ("ruby", "ruby", "ruby license"), ("vim", "vim", "vim license"), ("beerware", "beer", "beer ware license"), ("beerware", "beerware", "beerware license"), ("json", "json", "json license"),
     ("gpl", "gnu", "gnu general public license"), ("lgpl", "lesser", "gnu lesser general public license"), ("agpl", "affero", "gnu affero general public license"), ("apache", "apache", "apache (?:software )?license"), ("mpl", "mozilla", "mozilla public license"),
 )
 #: What stands before a name, by priority: a grant, an SPDX tag, a bare mention. Confidence by priority.

@@ -97,3 +97,9 @@ def test_pii_addresses_before_full_stops(spark):
         want = re.sub(r"joe@(mail\.)?example", lambda m: re.sub("[a-z]", "[a-z0-9]", m[0].replace(".", "\\.")), re.escape(texts[i]).replace("\\.example", ".example"))
         assert re.fullmatch(want, got[i].text) and "joe@" not in got[i].text and got[i].kinds == "email", got[i]
     assert got[5].text == texts[5] and got[5].n_found == 0
+
+
+def test_licenses_gated_by_words_of_their_matches(spark):
+    texts = ["the GNU Library General Public License version 2", "the GNU Lesser General Public License version 2.1", "Beerware License", "beer-ware license"]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert "lgpl-2.0" in got[0] and "lgpl-2.1" in got[1] and got[2] == got[3] == ["beerware"]
