@@ -5,8 +5,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,6 +43,20 @@ def release(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def lean(run: Callable, *caches: dict) -> Callable:
+    """run, an iterator over Arrow batches, that empties caches and gives memory back when a task ends: Python workers live on after it."""
+
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for cache in caches:
+                cache.clear()
+            pa.default_memory_pool().release_unused()
+
+    return task
+
+
 @atexit.register
 def _sweep() -> None:
     """At the driver's end the scratch tables that results still read go too."""
