@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding lower-cases, maps look-alike letters of other scripts and full-width forms to Latin ones, and
-undoes digit substitutions. Lexicon entries are whole words or word beginnings with a log-odds weight,
+Folding takes compatibility forms and accents apart, drops marks and invisible characters, lower-cases, maps
+look-alike letters of other scripts to Latin ones, and undoes digit substitutions. Lexicon entries are whole words or word beginnings with a log-odds weight,
 learned from labelled training documents beside the seed list. Hits inside exception phrases don't count.
 The weight sum over the logarithm of the length goes through a logistic curve.
 """
@@ -10,9 +10,12 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -20,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, text_only
+from tessera.llm.common import held_out, lean, materialize, release, text_only
 from tessera.llm.sampling import labelled_sample, logistic, probability
 
 #: Labelled training documents of each class that lexicon and curve are fitted on, at most.
@@ -29,19 +32,37 @@ PER_CLASS = 4000
 LEAST_DOCS, LEAST_WEIGHT = 8, 3.0
 #: Lengths of word beginnings that are tried as entries.
 STEMS = range(4, 9)
-#: Known insults, as whole folded words; the weight holds where the labels say nothing else.
-SEEDS = {"idiot": 3.0, "moron": 3.0, "scum": 3.0, "worthless": 2.0, "pathetic": 2.0, "disgusting": 2.0, "stupid": 2.0, "loser": 2.0}
+#: Known insults, as whole folded words; the weight holds where the labels don't say enough.
+SEEDS = {
+    w: weight
+    for weight, text in (
+        (3.0, "idiot idiots idiotic moron morons moronic scum scumbag imbecile imbeciles cretin dumbass asshole bastard bitch whore slut retard retarded dipshit douchebag jackass motherfucker fuckface"),
+        (2.0, "worthless pathetic disgusting stupid stupidity loser losers dumb filthy vermin parasite subhuman degenerate trash garbage clown coward creep pervert freak lunatic nitwit halfwit dimwit blockhead"),
+        (3.0, "idioten arschloch schlampe hurensohn wichser dummkopf trottel missgeburt vollidiot abschaum connard connasse salope encule abruti batard ordure idiota imbecil estupido estupida cabron puta pendejo gilipollas basura"),
+    )
+    for w in text.split()
+}
 #: Phrases in which an entry isn't meant as an insult.
-EXCEPTIONS = ("trash can", "trash bin", "trash bag", "clown fish", "circus clown", "pond scum", "soap scum", "worthless currency", "worthless stock", "pathetic fallacy", "oxy moron", "idiot proof", "stupid question", "sore loser")
-
-_LOOK_ALIKES = dict(zip("абвгдезиклмнопрстухіїјѕԁԛԝһαβγεηικνορτυχω", "abbrdeeukлмнonpctyxiijsdqwhabyenikvoptuxw", strict=True))
-_FOLD = {ord(k): v for k, v in _LOOK_ALIKES.items()} | {0xFF41 + i: chr(97 + i) for i in range(26)} | {ord(k): v for k, v in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "л": "l", "м": "m", "н": "h"}.items()}
+EXCEPTIONS = (
+    "trash can", "trash bin", "trash bag", "trash collection", "trash compactor", "garbage can", "garbage bag", "garbage truck", "garbage collector", "garbage collection", "clown fish", "circus clown",
+    "pond scum", "soap scum", "worthless currency", "worthless stock", "worthless check", "worthless debt", "pathetic fallacy", "idiot proof", "idiot savant", "stupid question", "stupid mistake", "sore loser",
+    "winners and losers", "parasite host", "host parasite", "malaria parasite", "intestinal parasite", "degenerate matter", "degenerate case", "degenerate eigenvalue", "dumb terminal", "dumb waiter", "dumb bell",
+    "vermin control", "filthy water", "freak storm", "freak accident", "freak wave", "lunatic fringe", "flame retard", "fire retard", "basura organica", "contenedor de basura", "ordures menageres",
+)
+
+_LOOK_ALIKES = dict(zip("абвгдезиклмнопрстухіїјѕԁԛԝһαβγεηικνορτυχωɑɡɩʏıłøđƅ", "abbrdeezklmhonpctyxiijsdqwhabyenikvoptuxwagiyilodb", strict=True))
+_FOLD = {ord(k): v for k, v in _LOOK_ALIKES.items()} | {ord(k): v for k, v in {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}.items()}
+#: Combining marks and characters that aren't seen.
+_UNSEEN = re.compile("[\u00ad\u0300-\u036f\u180e\u200b-\u200f\u202a-\u202e\u2060-\u2064\ufe00-\ufe0f\ufeff]+")
 _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str | None) -> list[str]:
     """The folded words of a text."""
-    return _WORD.findall((text or "").lower().translate(_FOLD))
+    text = text or ""
+    if not text.isascii():
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
+    return _WORD.findall(text.lower().translate(_FOLD))
 
 
 @dataclass
@@ -73,16 +94,18 @@ class Lexicon:
         tokens = fold(text)
         folded = f" {' '.join(tokens)} "
         best: dict[int, float] = {}
-        spans = []
+        spans: dict[int, int] = {}
         if self.words or self.stems:
             for end, (kind, w, n) in self.automaton().iter(folded):
                 start = end - n + (kind == "stem")  # the first letter's place
                 if kind == "not":
-                    spans.append((start, start + n))
+                    spans[start] = max(spans.get(start, 0), start + n)
                 elif w > best.get(start, 0.0):
                     best[start] = w
-        hits = [w for s, w in best.items() if not any(a <= s < b for a, b in spans)]
-        return sum(hits), len(hits), len(tokens)
+        begins = sorted(spans)
+        reach = list(accumulate((spans[a] for a in begins), max))  # how far the phrases up to each one go
+        hits = [w for s, w in best.items() if (i := bisect_right(begins, s)) == 0 or reach[i - 1] <= s]
+        return math.fsum(hits), len(hits), len(tokens)
 
     def score(self, text: str | None) -> float:
         return float(probability(np.array(self.slope * length_share(*self.weigh(text)) + self.offset)))
@@ -138,11 +161,15 @@ def learn(docs: DataFrame, labels: DataFrame, mod: int = 5, per_class: int = PER
     sample, prior = labelled_sample(docs, labels, "toxic", mod, per_class)
     n = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
     toxic, clean = n.get(1, 0), n.get(0, 0)
-    terms = sample.mapInArrow(_terms, "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
+    terms = sample.mapInArrow(lean(_terms), "term string, label int, n long").groupBy("term").agg(F.sum(F.expr("if(label = 1, n, 0)")).alias("a"), F.sum(F.expr("if(label = 0, n, 0)")).alias("b"))
+    terms = materialize(terms)
     # as many as a sample of bounded size has entries that are common in one class and rare in the other
     found = [tuple(r) for r in terms.filter(F.col("a") >= min(LEAST_DOCS, max(3, toxic // 5))).filter(F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1)) >= LEAST_WEIGHT).collect()]
     own, stems = choose(found, toxic, clean)
-    lexicon = Lexicon(SEEDS | own, stems)
+    # a seed that the labelled texts have often enough weighs what they say
+    told = {r.term: r.w for r in terms.filter(F.col("term").isin(sorted(SEEDS)) & (F.col("a") + F.col("b") >= LEAST_DOCS)).select("term", (F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("b") + 0.5) / (clean + 1))).alias("w")).collect()}
+    lexicon = Lexicon({w: v for w, v in (SEEDS | told).items() if v > 0} | own, stems)
+    release(terms)
 
     def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
