@@ -3,7 +3,7 @@
 A text becomes its words in one normal form. Each rule is a regular expression over that form with a
 priority, a label and a keyword; a rule runs only on texts that have its keyword, and no rule on texts
 without any. A detection inside a longer or equally long one of the same or a better priority is
-suppressed; the labels of the others stay.
+suppressed, of equal ones that of the later rule; the labels of the others stay.
 """
 
 from __future__ import annotations
@@ -117,7 +117,7 @@ def _count(c: Column, part: str) -> Column:
 
 
 def _detections(rules: tuple[Rule, ...]) -> str:
-    """SQL: sorted array of struct start, neg_end, priority, label of all matches in `one`, rules gated by their keywords."""
+    """SQL: sorted array of struct start, neg_end, priority, rule (its number), label of all matches in `one`, rules gated by their keywords."""
     kept = "filter(_rules, r -> contains(one, concat(' ', r.keyword, ' ')))"
     hits = "regexp_extract_all(one, r.regex, 0)"
     gaps = "split(one, r.regex, -1)"
@@ -126,7 +126,7 @@ def _detections(rules: tuple[Rule, ...]) -> str:
         named_struct('at', 0, 'out', cast(array() as array<struct<start: int, neg_end: int>>)),
         (s, x) -> if(x.h is null, s, named_struct('at', s.at + x.g + x.h, 'out', array_append(s.out, named_struct('start', s.at + x.g, 'neg_end', -(s.at + x.g + x.h))))),
         s -> s.out))[0]"""
-    return f"array_sort(flatten(transform({kept}, r -> transform({places}, m -> named_struct('start', m.start, 'neg_end', m.neg_end, 'priority', r.priority, 'label', r.label)))))"
+    return f"array_sort(flatten(transform({kept}, r -> transform({places}, m -> named_struct('start', m.start, 'neg_end', m.neg_end, 'priority', r.priority, 'rule', r.rule, 'label', r.label)))))"
 
 
 def license_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, phrases: tuple[tuple[str, str], ...] = PHRASES) -> DataFrame:
@@ -153,7 +153,7 @@ def license_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, phrases: tupl
         F.least(*first).alias("first_word"), F.greatest(*last).alias("last_word"), base.alias("base"),
         F.when(s.rlike(r" (?:" + "|".join(sorted({r.keyword for r in rules})) + r") "), F.replace(s, F.lit("  "), F.lit(" "))).alias("one"),
     )
-    literal = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex")) for r in rules))
+    literal = F.array(*(F.struct(F.lit(r.label).alias("label"), F.lit(r.priority).alias("priority"), F.lit(r.keyword).alias("keyword"), F.lit(r.regex).alias("regex"), F.lit(i).alias("rule")) for i, r in enumerate(rules)))
     rows = rows.withColumn("_rules", F.when(F.col("one").isNotNull(), literal))
     rows = rows.withColumn("hits", F.expr(f"if(one is null, null, {_detections(rules)})")).drop("_rules")
     # in order of begin, the longer first: a detection is inside an earlier one if that reaches as far
