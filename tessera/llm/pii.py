@@ -5,16 +5,23 @@ pattern, validated, and replaced by keyed permutations within their own format:
 over the two halves of the digits (or of the letters and digits), whose round function is SHA-256 of key,
 kind, length, round and half. It is a bijection for each kind and length, so equal values get equal
 pseudonyms in all documents and different ones different pseudonyms. Separators stay where they are; card
-numbers keep a right check digit, accounts right check digits, dates stay dates, addresses addresses.
+numbers keep a right check digit, accounts right check digits, dates stay dates, addresses addresses. Where
+only some values of a format are valid, the permutation is repeated until it meets a valid one again (cycle
+walking), which is a bijection of the valid values. Addresses are permuted without regard to case.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 ROUNDS = 10
-DEFAULT_KEY = "tessera-default-key"
+#: Steps of a cycle walk. Of the dates' strings 61 % are valid, so a longer walk has a chance under 1e-50; a value whose walk is longer stays.
+WALK = 128
+#: The setting that holds the key; equal values are linked between runs that share it.
+KEY_SETTING = "spark.tessera.pii.key"
 
 #: Bounded and anchored at the begin of a run of its own characters, so that it takes linear time; the at most
 #: eight labels are given back one by one, as a full stop may follow the address.
@@ -65,6 +72,13 @@ def _alnum(key: str, kind: str, d: str) -> str:
     return _let(f"lower({d})", "dd", f"concat_ws('', transform(sequence(0, cast((length(dd) - 1) div 22 as int)), bi -> {block}))")
 
 
+def _walk(value: str, name: str, once: str, valid: str) -> str:
+    """SQL: `once`, an expression over `name`, applied to value until `valid`, a condition over `name`, holds again."""
+    step = f"if(w.n > 0 and {_let('w.v', name, valid)}, w, named_struct('n', w.n + 1, 'v', {_let('w.v', name, once)}))"
+    start = _let(value, "w0", "named_struct('n', 0, 'v', w0)")
+    return f"aggregate(sequence(1, {WALK}), {start}, (w, wi) -> {step}, w -> w.v)"
+
+
 def _put_back(o: str, p: str, others: str) -> str:
     """SQL: the characters of p at the places of o whose characters aren't among `others` (a negated class); the rest of o stays."""
     place = f"length(regexp_replace(substr(oo, 1, i), '{others}', ''))"
@@ -104,17 +118,23 @@ def _pseudonym(key: str) -> str:
     date_net = _feistel(key, "date", "8", "dn div 229", "dn % 229", "319", "229")
     new_day = _let("datediff(day, date'1900-01-01', dt)", "dn", _let(date_net, "f", "date_add(date'1900-01-01', cast(f.l * 229 + f.r as int))"))
 
-    def date(form: str, otherwise: str) -> str:
-        """A date read by `form` gets a date written by it; the separator of the original stays."""
-        value = f"replace(date_format({new_day}, '{form}'), '-', substr(m, if(m rlike '^[0-9]{{4}}', 5, 3), 1))"
-        return _let(f"try_to_date(regexp_replace(m, '[/.]', '-'), '{form}')", "dt", f"if(dt is null, {otherwise}, named_struct('kind', 'date', 'value', {value}))")
+    iso = _let("try_to_date(m, 'yyyy-MM-dd')", "dt", f"if(dt is null, {none}, named_struct('kind', 'date', 'value', date_format({new_day}, 'yyyy-MM-dd')))")
 
-    # the day first, where both readings are dates
-    dates = f"if(m rlike '^[0-9]{{4}}', {date('yyyy-MM-dd', none)}, {date('dd-MM-yyyy', date('MM-dd-yyyy', none))})"
+    # two numbers up to 31 and a year: a state is (first - 1) * 31 + second - 1 and the year; the valid ones are dates read either way
+    def days(month: str) -> str:
+        return f"element_at(array(31, if(yy % 4 = 0 and (yy % 100 <> 0 or yy % 400 = 0), 29, 28), 31, 30, 31, 30, 31, 31, 30, 31, 30, 31), {month})"
+
+    ok = "if(d1 between 1 and 31 and d2 between 1 and 31, if(d2 <= 12, d1 <= {0}, false) or if(d1 <= 12, d2 <= {1}, false), false)".format(days("d2"), days("d1"))
+    state_ok = _let("cast(sd.l div 31 + 1 as int)", "d1", _let("cast(sd.l % 31 + 1 as int)", "d2", _let("cast(sd.r + 1900 as int)", "yy", ok)))
+    walk = _walk("named_struct('l', cast((d1 - 1) * 31 + d2 - 1 as bigint), 'r', cast(yy - 1900 as bigint))", "sd", _feistel(key, "day", "8", "sd.l", "sd.r", "961", "200"), state_ok)
+    written = _let(walk, "nd", "concat(lpad(nd.l div 31 + 1, 2, '0'), substr(m, 3, 1), lpad(nd.l % 31 + 1, 2, '0'), substr(m, 6, 1), nd.r + 1900)")
+    other_date = _let("cast(substr(m, 1, 2) as int)", "d1", _let("cast(substr(m, 4, 2) as int)", "d2", _let("cast(substr(m, 7, 4) as int)", "yy", f"if({ok}, named_struct('kind', 'date', 'value', {written}), {none})")))
+    dates = f"if(m rlike '^[0-9]{{4}}', {iso}, {other_date})"
 
     # areas 000, 666 and 900 up, group 00 and serial 0000 are never given out
-    ssn_ok = "not (substr(m, 1, 3) in ('000', '666') or substr(m, 1, 1) = '9' or substr(m, 5, 2) = '00' or substr(m, 8, 4) = '0000')"
-    ssn = f"if({ssn_ok}, named_struct('kind', 'ssn', 'value', {_put_back('m', _digits(key, 'ssn', digits), '[^0-9]')}), {none})"
+    ssn_ok = "not (substr(ns, 1, 3) in ('000', '666') or substr(ns, 1, 1) = '9' or substr(ns, 4, 2) = '00' or substr(ns, 6, 4) = '0000')"
+    ssn_walk = _walk(digits, "ns", _digits(key, "ssn", "ns"), ssn_ok)
+    ssn = f"if({_let(digits, 'ns', ssn_ok)}, named_struct('kind', 'ssn', 'value', {_put_back('m', ssn_walk, '[^0-9]')}), {none})"
 
     body = _digits(key, "card", "substr(d, 2, length(d) - 2)")
     card_new = _let(f"concat(substr(d, 1, 1), {body})", "cb", f"concat(cb, cast((10 - {_luhn('cb', 1)}) % 10 as string))")
@@ -139,7 +159,16 @@ def _pseudonym(key: str) -> str:
         else {phone} end)"""
 
 
-def pseudonymized(text: str, key: str = DEFAULT_KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    """The key in the session's setting KEY_SETTING; where that is unset, a random one for this session."""
+    key = spark.conf.get(KEY_SETTING, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY_SETTING, key)
+    return key
+
+
+def pseudonymized(text: str, key: str) -> Column:
     """struct of text, kinds (the kind of each value replaced, in order) from a string column; null stays null."""
     if not key or any(c in key for c in "'\\|"):
         raise ValueError("a key may not be empty nor contain quotes, backslashes or bars")
@@ -150,7 +179,7 @@ def pseudonymized(text: str, key: str = DEFAULT_KEY) -> Column:
     return F.expr(f"if(`{text}` rlike r'{GATE}', {made}, named_struct('text', `{text}`, 'kinds', cast(array() as array<string>)))")
 
 
-def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """The rows of docs, all columns, with the pseudonymised text in `text`.
 
     Null and empty texts stay as they are, as do texts without personal data and values that fail their
@@ -159,7 +188,7 @@ def pseudonymize(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
     return docs.withColumn("text", pseudonymized("text", key)["text"])
 
 
-def pii_report(docs: DataFrame, key: str = DEFAULT_KEY) -> DataFrame:
+def pii_report(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text, n_found, kinds (sorted and comma-joined) for every row of docs (doc_id, text); other columns are ignored."""
     out = docs.select("doc_id", pseudonymized("text", key).alias("made"))
     kinds = F.coalesce(F.col("made.kinds"), F.array().cast("array<string>"))

@@ -11,11 +11,12 @@ from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode
 from tessera.llm.classlm import lm_scores
+from tessera.llm.common import held_out
 from tessera.llm.decontaminate import contamination
 from tessera.llm.fingerprint import fingerprint_report
 from tessera.llm.licenses import license_scan
 from tessera.llm.minhash import near_duplicates
-from tessera.llm.pii import pii_report
+from tessera.llm.pii import pii_report, session_key
 from tessera.llm.quality import quality_scores
 from tessera.llm.toxicity import toxicity_scores
 from tessera.llm.urls import labelled_by_hosts, url_verdicts
@@ -50,9 +51,9 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page's verdict; the labels that the trees learn from come from listed words of host names."""
+    """Every page's verdict; the labels that the trees learn from come from listed words of host names, of pages that aren't held out."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    return url_verdicts(pages, labelled_by_hosts(pages))
+    return url_verdicts(pages, labelled_by_hosts(pages.filter(~held_out("page_id", 5)))).withColumn("held_out", held_out("page_id", 5))
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +94,7 @@ def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with pseudonyms in place of its personal data."""
-    return pii_report(_documents(spark, sf_dir))
+    return pii_report(_documents(spark, sf_dir), session_key(spark))
 
 
 #: All pairs that share a shingle, and all that can be reached: for small tables.
