@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, mix64, text_only
+from tessera.llm.common import held_out, lean, mix64, text_only
 from tessera.llm.sampling import labelled_sample, logistic, probability
 
 #: Labelled training documents of each class that the model is fitted on, at most.
@@ -40,7 +40,7 @@ def shape(word: str) -> str:
 
 class _Shapes(dict):
     def __missing__(self, word: str) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(shape(word).encode("utf-8", "surrogatepass"))
         return h
@@ -138,7 +138,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", mod: int = 5, per_class: int = PER_CLASS) -> Model:
     sample, prior = labelled_sample(docs, labels, label, mod, per_class)
     kind = sample.schema["doc_id"].dataType.simpleString()
-    got = sorted((r.doc_id, r.label, r.features) for r in sample.mapInArrow(_features, f"doc_id {kind}, label int, features array<long>").collect())
+    got = sorted((r.doc_id, r.label, r.features) for r in sample.mapInArrow(lean(_features, _shapes), f"doc_id {kind}, label int, features array<long>").collect())
     rows = [np.sort(np.array(f, np.int64).view(np.uint64)) for _, _, f in got]
     # the order of a hash mixes the classes, whatever the ids mean
     mixed = np.argsort([xxhash.xxh3_64_intdigest(str(d).encode()) for d, _, _ in got], kind="stable")
@@ -159,7 +159,7 @@ def quality_scores(spark: SparkSession, docs: DataFrame, labels: DataFrame, thre
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([m.score(t.as_py()) for t in batch.column(1)], pa.float64())], names=["doc_id", "score"])
 
     docs = text_only(docs, "doc_id", "text")
-    out = docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
+    out = docs.mapInArrow(lean(run, _shapes), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
     return out.select("doc_id", held_out("doc_id", mod).alias("held_out"), "score", F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"))
 
 
@@ -173,4 +173,4 @@ def keep_good(spark: SparkSession, docs: DataFrame, labels: DataFrame, threshold
         for batch in batches:
             yield batch.filter(pa.array([m.score(t.as_py()) >= threshold for t in batch.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run, _shapes), docs.schema)

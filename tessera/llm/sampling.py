@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import held_out, materialize, text_only
-from tessera.llm.minhash import shingle_set
-from tessera.llm.common import words
+from tessera.llm.common import held_out, lean, materialize, release, text_only, words
+from tessera.llm.minhash import _hashes, shingle_set
 
 
 def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -36,8 +35,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, mod: int, pe
     ids = train.filter("label = 0").orderBy(*order).limit(per_class).unionAll(train.filter("label = 1").orderBy(*order).limit(per_class))
     ids = materialize(ids)  # at most twice per_class rows, so it may be broadcast
     found = text_only(docs, "doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-    found = found.mapInArrow(_with_key, f"doc_id {found.schema['doc_id'].dataType.simpleString()}, text string, label int, key long")
-    return materialize(found.dropDuplicates(["key", "label"]).select("doc_id", "text", "label")), n.get(1, 0) / total if total else 0.5
+    found = found.mapInArrow(lean(_with_key, _hashes), f"doc_id {found.schema['doc_id'].dataType.simpleString()}, text string, label int, key long")
+    # of near copies the least id stays, and of rows that share it the least text
+    one = found.groupBy("key", "label").agg(F.min(F.struct("doc_id", "text")).alias("r"))
+    out = materialize(one.select("r.doc_id", "r.text", "label"))
+    release(ids)
+    return out, n.get(1, 0) / total if total else 0.5
 
 
 def logistic(x: np.ndarray, y: np.ndarray, prior: float, ridge: float = 1e-3) -> tuple[float, float]:
