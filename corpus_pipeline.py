@@ -13,10 +13,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm.bpe import bpe_encode
-from tessera.llm.common import materialize
+from tessera.llm.common import materialize, release
 from tessera.llm.decontaminate import drop_contaminated
 from tessera.llm.minhash import near_duplicates, text_digest
-from tessera.llm.pii import pseudonymize
+from tessera.llm.pii import pseudonymize, session_key
 from tessera.llm.quality import keep_good
 from tessera.session import ship_package
 
@@ -37,11 +37,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     ship_package(spark)
     groups = near_duplicates(docs, digests=True)
-    groups = materialize(groups)
-    gone = groups.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_digest").alias("_gone_text")).distinct()
+    gone = materialize(groups.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_digest").alias("_gone_text")).distinct())
     kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
     again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again_id"))
     again = materialize(again)
+    release(groups)
     if again.isEmpty():
         return kept
     # rows that share an id: of those with equal texts one stays
@@ -57,7 +57,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with pseudonyms in place of personal data; n_chars follows the text."""
-    out = pseudonymize(docs)
+    out = pseudonymize(docs, session_key(spark))
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 
@@ -75,5 +75,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        before, docs = docs, materialize(stage(spark, docs, sf_dir))
+        release(before)
     return docs
