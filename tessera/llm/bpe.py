@@ -23,7 +23,7 @@ from tessera.llm.common import text_only
 #: Bytes of a vocabulary file that may be broadcast.
 VOCABULARY_BYTES = 64 << 20
 #: Pieces that a worker remembers before it starts anew.
-CACHE = 250_000
+CACHE = 120_000
 _SPACE = regex.compile(r"\p{White_Space}+")
 
 

@@ -55,8 +55,8 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return moved.filter("u > v").distinct()
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, root) for every node of `edges` (two columns of one orderable type); root is the least node reachable.
+def connected_components(edges: DataFrame) -> DataFrame:
+    """(node, root), a written table, for every node of `edges` (two columns of one orderable type); root is the least node reachable.
 
     Loops and repeated edges are allowed; an edge with a null end is dropped; no edges give no rows.
     """
@@ -64,7 +64,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).filter(F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b)))
     e = materialize(e.mapInArrow(_contract, e.schema).distinct())
     mark = None
-    for _ in range(most_rounds):
+    while True:  # the steps settle: every one moves nodes to lesser ones
         e2 = materialize(_stars(_stars(e, large=True), large=False))
         release(e)
         e = e2
@@ -72,7 +72,7 @@ def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         if now == mark:
             break
         mark = now
-    else:
-        raise RuntimeError(f"components not settled after {most_rounds} rounds")
     nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(e.select(F.col("v"), F.col("v")))
-    return nodes.distinct()
+    nodes = materialize(nodes.distinct())
+    release(e)
+    return nodes

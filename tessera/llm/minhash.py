@@ -9,10 +9,11 @@
    go, the others are confirmed on the full sets, and components are formed.
 4. Only buckets whose members are still in several components can hide a further link between
    components. Small ones are compared across components by sketch, and what passes is confirmed on full
-   sets. Large ones that share members form one group, which is cut into blocks of bounded size; a task
-   gets the sketches and texts of two blocks, compares across components by sketch and confirms at once,
-   and passes on only the links that join components. So every link of a banded pair counts, no task
-   holds a whole bucket, and what tasks pass on grows with the members, not with their pairs.
+   sets. Each large one is cut into blocks of bounded size; a task gets the sketches and texts of two
+   blocks, compares across components by sketch (pairs that met in an earlier band were compared there)
+   and confirms at once, and passes on only the links that join components. So every link of a banded
+   pair counts, no task holds a whole bucket, buckets never grow together, and what tasks pass on grows
+   with the members, not with their pairs.
 """
 
 from __future__ import annotations
@@ -25,15 +26,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import materialize, mix64, release, words
+from tessera.llm.common import lean, materialize, mix64, release, words
 from tessera.llm.components import connected_components
 
 BANDS, ROWS, MANTISSA = 32, 4, 10
 REGISTERS = BANDS * ROWS
 #: Standard deviations of the estimate below the threshold at which a candidate is given up.
 MARGIN = 5.0
-#: Members of buckets that are compared pair by pair; members of larger groups that a task holds on each side.
+#: Members of buckets that are compared pair by pair; members of larger ones that a task holds on each side.
 SMALL, BLOCK = 64, 512
+#: Shingle hashes of sets that a task keeps at hand, 8 bytes each; beyond it sets are made anew from their texts.
+HELD = 2_000_000
 #: Hashes of 8 bytes up to which a list of texts is broadcast; beyond it the join shuffles.
 BROADCAST_IDS = 2_000_000
 
@@ -48,7 +51,7 @@ class _WordHash(dict):
     """64-bit hashes of words; forgets them all when it has grown large."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -107,7 +110,7 @@ def _sketches(k: int):
             more = batch.schema.names[2:]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.array(regs, pa.binary()), *(batch.column(c) for c in more)], names=["doc_id", "n_shingles", "node", "regs", *more])
 
-    return run
+    return lean(run, _hashes)
 
 
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -178,32 +181,45 @@ def _across(least: float):
     return run
 
 
+def _sets(k: int):
+    """The shingle set of (name, text), kept at hand within HELD."""
+    known: dict = {}
+    held = 0
+
+    def of(name, text: str) -> np.ndarray:
+        nonlocal held
+        if (s := known.get(name)) is None:
+            if held > HELD:
+                known.clear()
+                held = 0
+            known[name] = s = shingle_set(words(text), k)
+            held += len(s)
+        return s
+
+    return of
+
+
 def _cells(k: int, percent: int, least: float):
-    """Confirmed links that join components from two blocks of a large group: rows (super, i, j, block, node, root, regs, n, text)."""
+    """Confirmed links that join components from two blocks of a large bucket: rows (key, i, j, band, block, node, root, regs, n, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, i, j, block, node, root, raw, n, text in _groups(batches, 3):
+        for _, i, j, band, block, node, root, raw, n, text in _groups(batches, 3):
             regs = np.frombuffer(b"".join(raw), np.uint16).reshape(-1, REGISTERS)
-            n, side = np.array(n), np.array(block)
+            r64, n, side, band = regs.view(np.uint64), np.array(n), np.array(block), band[0]
             comp = np.unique(np.array(root, object), return_inverse=True)[1]
-            sets: dict[int, np.ndarray] = {}
-
-            def of(x: int, sets=sets, text=text) -> np.ndarray:
-                if x not in sets:
-                    sets[x] = shingle_set(words(text[x]), k)
-                return sets[x]
-
+            of = _sets(k)
             out = []
+            second = np.flatnonzero(side == j[0])
             for x in np.flatnonzero(side == i[0]):
-                y = np.flatnonzero(side == j[0])
-                if i[0] == j[0]:
-                    y = y[y > x]
+                y = second[second > x] if i[0] == j[0] else second
                 y = y[(comp[y] != comp[x]) & (100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x]))]
+                if len(y):
+                    y = y[~(r64[y, :band] == r64[x, :band]).any(axis=1)]
                 if len(y):
                     y = y[estimate(regs[y], regs[[x]], n[y], n[[x]]) >= least]
                 for z in y:
                     if comp[z] != comp[x]:
-                        s, t = of(x), of(z)
+                        s, t = of(x, text[x]), of(z, text[z])
                         both = len(np.intersect1d(s, t, assume_unique=True))
                         if 100 * both >= percent * (len(s) + len(t) - both):
                             comp[comp == comp[z]] = comp[x]
@@ -211,22 +227,14 @@ def _cells(k: int, percent: int, least: float):
             if out:
                 yield _edges(out)
 
-    return run
+    return lean(run, _hashes)
 
 
 def _confirm(k: int, percent: int):
     """Keeps the pairs (a, b, text_a, text_b) whose full sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[bytes, np.ndarray] = {}
-
-        def of(node: bytes, text: str) -> np.ndarray:
-            if (s := known.get(node)) is None:
-                if len(known) > 500:
-                    known.clear()
-                known[node] = s = shingle_set(words(text), k)
-            return s
-
+        of = _sets(k)
         for batch in batches:
             cols = [batch.column(c) for c in range(4)]
             keep = []
@@ -237,7 +245,7 @@ def _confirm(k: int, percent: int):
             keep = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([cols[0].filter(keep), cols[1].filter(keep)], names=["a", "b"])
 
-    return run
+    return lean(run, _hashes)
 
 
 PAIRS = "a binary, b binary"
@@ -271,7 +279,7 @@ def _own(k: int):
             keep = [xxhash.xxh3_128_digest(shingle_set(words(t.as_py()), k).tobytes()) == n for n, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
-    return run
+    return lean(run, _hashes)
 
 
 def text_digest() -> Column:
@@ -309,30 +317,37 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     likely = materialize(stars.join(b, "b").join(a, "a").select("a", "b", "ra", "rb", "na", "nb").mapInArrow(_likely(least), PAIRS))
     reps = distinct.select("node", "rep")
     links = _verified(likely, docs, reps, shingle_words, percent)
-    roots = materialize(connected_components(links))
+    roots = connected_components(links)
 
-    where = members.join(roots, "node", "left").select("key", "node", "band", "leader", "members", F.coalesce("root", "node").alias("root"))
-    where = materialize(where)
+    where = materialize(members.join(roots, "node", "left").select("key", "node", "band", "members", F.coalesce("root", "node").alias("root")))
+    release(members)
     open_keys = where.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo != hi").select("key")
-    some = where.join(open_keys, "key")
+    some = materialize(where.join(open_keys, "key"))
+    release(where)
     small = some.filter(F.col("members") <= SMALL).join(side, "node").select("key", "node", "root", "regs", "n", "band")
-    more = small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), PAIRS).distinct().join(likely, ["a", "b"], "left_anti")
-    more_links = _verified(materialize(more), docs, reps, shingle_words, percent)
+    more = materialize(small.repartition("key").sortWithinPartitions("key").mapInArrow(_across(least), PAIRS).distinct().join(likely, ["a", "b"], "left_anti"))
+    release(likely)
+    more_links = _verified(more, docs, reps, shingle_words, percent)
+    release(more)
 
-    large = materialize(some.filter(F.col("members") > SMALL).select("node", "leader", "root"))
+    large = some.filter(F.col("members") > SMALL)
     if not large.isEmpty():
-        groups = materialize(connected_components(large.select(F.col("leader").alias("a"), F.col("node").alias("b"))))
-        inside = large.select("node", "root").distinct().join(groups.withColumnRenamed("root", "super"), "node")
-        inside = materialize(inside)
-        sizes = inside.groupBy("super").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-        inside = inside.join(sizes, "super").join(side, "node").join(_texts(inside.select("node"), docs, reps, shingle_words), "node")
-        inside = inside.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        inside = inside.select("super", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "root", "regs", "n", "text")
-        cells = inside.repartition("super", "i", "j").sortWithinPartitions("super", "i", "j")
-        more_links = materialize(more_links.unionAll(cells.mapInArrow(_cells(shingle_words, percent, least), PAIRS)))
+        # a member goes to every cell of its block and another one of the same bucket
+        blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+        texts = _texts(large.select("node").distinct(), docs, reps, shingle_words)
+        dealt = large.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).join(side, "node").join(texts, "node")
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        dealt = dealt.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "node", "root", "regs", "n", "text")
+        cells = dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+        found = materialize(cells.mapInArrow(_cells(shingle_words, percent, least), PAIRS))
+        release(texts)
+        links, more_links = materialize(links.unionAll(more_links).unionAll(found)), found
+    elif not more_links.isEmpty():
+        links = materialize(links.unionAll(more_links))
     if not more_links.isEmpty():
-        roots = materialize(connected_components(links.unionAll(more_links)))
-    release(members, likely, where)
+        release(roots)
+        roots = connected_components(links)
+    release(some, links)
 
     labels = roots.join(distinct.select("node", "doc_id"), "node").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     linked = roots.join(labels, "root").select("node", "component_id")
@@ -340,4 +355,6 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 80,
     known = linked.unionAll(single)
     out = sigs.select("doc_id", "n_shingles", "node", *carried).join(known, "node", "left")
     component = F.when(F.col("component_id").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *carried)
+    out = materialize(out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"), *carried))
+    release(sigs, distinct, roots)
+    return out
