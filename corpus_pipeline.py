@@ -38,7 +38,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship_package(spark)
     groups = near_duplicates(docs, digests=True)
     gone = materialize(groups.filter("not kept").select(F.col("doc_id").alias("_gone_id"), F.col("text_digest").alias("_gone_text")).distinct())
-    kept = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
+    # texts meet what goes by their rows' keys at every size: what goes grows with the documents, so it isn't broadcast
+    kept = docs.join(gone.hint("merge"), F.col("doc_id").eqNullSafe(F.col("_gone_id")) & (text_digest() == F.col("_gone_text")), "left_anti")
     again = groups.filter("kept").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1 or doc_id is null").select(F.col("doc_id").alias("_again_id"))
     again = materialize(again)
     release(groups)
