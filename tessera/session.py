@@ -18,6 +18,8 @@ DEFAULTS = {
     "spark.sql.parquet.aggregatePushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+#: Bytes of a batch that goes to a Python worker: tasks and workers hold several at once.
+ARROW_BATCH = 16 << 20
 
 
 def get_session(app: str = "tessera", master: str | None = None, **conf: str) -> SparkSession:
@@ -36,7 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give this package to the executors' Python workers, once a session; Spark serves the archive from the driver."""
+    """Give this package to the executors' Python workers, once a session; Spark serves the archive from the driver. Batches for them get a bound."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BATCH))
     context = spark.sparkContext
     if getattr(context, "_tessera_shipped", False):
         return
