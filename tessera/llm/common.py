@@ -43,6 +43,11 @@ def release(*frames: DataFrame) -> None:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def forget_shuffles(spark: SparkSession) -> None:
+    """Have the driver collect garbage: shuffle files of queries that are over go with it."""
+    spark._jvm.System.gc()
+
+
 def lean(run: Callable, *caches: dict) -> Callable:
     """run, an iterator over Arrow batches, that empties caches and gives memory back when a task ends: Python workers live on after it."""
 
