@@ -140,18 +140,15 @@ def length(x: str) -> str:
 
 
 def substr(x: str, y: str, z: str | None = None) -> str:
-    """1-based from y; a negative y counts from the end, 0 costs one character, a negative z takes what stands before y."""
-    n = f"length({x})"
-    if z is None:
-        return f"case when {y} > 0 then substring({x}, cast({y} as int)) when {y} = 0 then {x} else substring({x}, cast(greatest({n} + {y}, 0) as int) + 1) end"
-    want = f"abs({z})"
-    # characters wanted before the text's begin are lost
-    p2 = f"({want} + case when {y} < 0 and {n} + {y} < 0 then {n} + {y} when {y} = 0 and {want} > 0 then -1 else 0 end)"
-    p1 = f"(case when {y} < 0 then greatest({n} + {y}, 0) when {y} > 0 then {y} - 1 else 0 end)"
-    back = f"({p1} - {p2})"
-    forward = f"substring({x}, cast({p1} as int) + 1, cast(greatest({p2}, 0) as int))"
-    before = f"substring({x}, cast(greatest({back}, 0) as int) + 1, cast(greatest({p2} + least({back}, 0), 0) as int))"
-    return f"case when {z} < 0 then {before} else {forward} end"
+    """The characters at 1-based places first <= place < stop, as far as the text has them.
+
+    A negative y is a place counted from the end. z places follow y, or stand before it where z is negative.
+    """
+    first = f"if({y} < 0, length({x}) + 1 + {y}, {y})"
+    stop = f"length({x}) + 1" if z is None else f"{first} + {z}"
+    low, high = (first, stop) if z is None else (f"least({first}, {stop})", f"greatest({first}, {stop})")
+    begin = f"greatest({low}, 1)"
+    return f"if({x} is null or {y} is null{'' if z is None else f' or {z} is null'}, null, substring({x}, cast({begin} as int), cast(greatest({high} - {begin}, 0) as int)))"
 
 
 def replace(x: str, p: str, r: str) -> str:
@@ -233,6 +230,20 @@ def like(x: str, pattern: str, escape: str | None = None) -> str:
     return f"({lower(x)} like {lower(pattern)} escape {esc})"
 
 
+def _set(chars: str) -> str:
+    """The inside of a character class; a range that runs backwards has no characters."""
+    plain = lambda c: "\\" + c if c in "\\[]^&-~|" else c
+    out, i = "", 0
+    while i < len(chars):
+        if chars[i + 1 : i + 2] == "-" and i + 2 < len(chars):
+            out += f"{plain(chars[i])}-{plain(chars[i + 2])}" if chars[i] <= chars[i + 2] else ""
+            i += 3
+        else:
+            out += plain(chars[i])
+            i += 1
+    return out
+
+
 def glob_regex(pattern: str) -> str:
     """The regular expression of a glob pattern: * ? [set] [^set]; case counts."""
     out, i = ["(?s)\\A"], 0
@@ -249,8 +260,8 @@ def glob_regex(pattern: str) -> str:
             end = pattern.find("]", j + 1)
             if end < 0:
                 return "(?!)"  # an open set matches nothing
-            body = "".join("\\" + b if b in "\\[]^&" else b for b in pattern[j:end])
-            out.append(f"[{'^' if negated else ''}{body}]")
+            body = _set(pattern[j:end])
+            out.append(f"[{'^' if negated else ''}{body}]" if body else "." if negated else "(?!)")
             i = end
         else:
             out.append("\\" + c if c in "\\^$.|+(){}[]" else c)

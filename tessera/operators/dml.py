@@ -22,6 +22,7 @@ class ForeignKey:
     parent: str
     parent_columns: tuple[str, ...]
     on_delete: str = "no action"
+    on_update: str = "no action"
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def violations(df: DataFrame, constraints: Constraints, parents: dict[str, DataF
         each = F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.lit(detail).alias("detail"), F.col(f"b{i}").alias("n")) for i, (kind, detail, _) in enumerate(plain))))
         out = out.unionAll(sums.select(each.alias("p")).select("p.*").filter("n > 0"))
     for key in constraints.unique:
-        whole = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("n")).filter("n > 1")
+        whole = df.dropna(subset=list(key)).groupBy(*key).agg(F.count("*").alias("_times")).filter("_times > 1")
         out = out.unionAll(whole.agg(F.count("*").alias("n")).filter("n > 0").select(F.lit("unique"), F.lit(", ".join(key)), "n"))
     for fk in constraints.foreign_keys:
         parent = (parents or {})[fk.parent].select(*(F.col(p).alias(c) for p, c in zip(fk.parent_columns, fk.columns, strict=True)))
@@ -78,20 +79,37 @@ def completed(rows: DataFrame, table: DataFrame, constraints: Constraints) -> Da
     return rows.select(*table.columns)
 
 
-def insert(table: DataFrame, rows: DataFrame, constraints: Constraints = Constraints(), conflict: str = "abort", key: tuple[str, ...] = ()) -> DataFrame:
-    """The table with rows added. conflict: abort (constraints are checked), ignore or replace by key.
+def insert(table: DataFrame, rows: DataFrame, constraints: Constraints = Constraints(), conflict: str = "abort", key: tuple[str, ...] = (), parents: dict[str, DataFrame] | None = None) -> DataFrame:
+    """The table with rows added. conflict: abort (constraints are checked), ignore or replace by every unique key.
 
-    Of new rows with one key the first in the order of all columns stays with `ignore`, the last with `replace`.
+    `ignore` leaves out rows that break NOT NULL, CHECK or a key; `replace` puts a column's default in place of
+    a NULL that is forbidden and takes out the rows whose keys return. Of new rows with one key the first in
+    the order of all columns stays with `ignore`, the last with `replace`. Foreign keys are checked always.
     """
     rows = completed(rows, table, constraints)
     if conflict == "abort":
-        return checked(table.unionAll(rows), constraints)
+        return checked(table.unionAll(rows), constraints, parents)
     order = [F.col(c) for c in rows.columns]
-    w = Window.partitionBy(*key).orderBy(*(order if conflict == "ignore" else [c.desc() for c in order]))
-    one = rows.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    ok = F.lit(True)
+    for c in constraints.not_null:
+        if conflict == "replace" and c in constraints.defaults:
+            rows = rows.withColumn(c, F.coalesce(F.col(c), F.expr(constraints.defaults[c]).cast(table.schema[c].dataType)))
+        ok = ok & F.col(c).isNotNull()
+    for check in constraints.checks:
+        ok = ok & F.coalesce(F.expr(check).cast("boolean"), F.lit(True))
     if conflict == "ignore":
-        return table.unionAll(one.join(table.select(*key), list(key), "left_anti").select(*table.columns))
-    return table.join(one.select(*key), list(key), "left_anti").select(*table.columns).unionAll(one)
+        rows = rows.filter(ok)
+    for k in dict.fromkeys((*([key] if key else []), *constraints.unique)):
+        whole = F.lit(True)
+        for c in k:
+            whole = whole & F.col(c).isNotNull()  # keys with a NULL part never clash
+        w = Window.partitionBy(*k).orderBy(*(order if conflict == "ignore" else [c.desc() for c in order]))
+        rows = rows.withColumn("_n", F.when(whole, F.row_number().over(w)).otherwise(1)).filter("_n = 1").drop("_n")
+        if conflict == "ignore":
+            rows = rows.join(table.select(*k), list(k), "left_anti").select(*table.columns)
+        else:
+            table = table.join(rows.select(*k), list(k), "left_anti").select(*table.columns)
+    return checked(table.unionAll(rows), constraints, parents)
 
 
 def upsert(table: DataFrame, rows: DataFrame, key: tuple[str, ...], sets: dict[str, str] | None, where: str | None = None, constraints: Constraints = Constraints()) -> DataFrame:
@@ -142,16 +160,52 @@ def cascade(tables: dict[str, DataFrame], constraints: dict[str, Constraints], n
                     case "cascade":
                         tables[child] = tables[child].join(keys, list(fk.columns), "left_anti").select(*tables[child].columns)
                         todo.append((child, hit))
-                    case "set null":
+                    case "set null" | "set default":
                         kept = tables[child].join(keys, list(fk.columns), "left_anti").select(*tables[child].columns)
-                        nulled = hit.select(*(F.lit(None).cast(hit.schema[c].dataType).alias(c) if c in fk.columns else F.col(c) for c in tables[child].columns))
+                        given = lambda c, rules=rules, fk=fk: F.expr(rules.defaults.get(c, "null")) if fk.on_delete.lower() == "set default" else F.lit(None)
+                        nulled = hit.select(*(given(c).cast(hit.schema[c].dataType).alias(c) if c in fk.columns else F.col(c) for c in tables[child].columns))
                         tables[child] = kept.unionAll(nulled)
+                        checked(tables[child], Constraints(not_null=rules.not_null, foreign_keys=(fk,)), tables)
                     case _:
                         if not hit.isEmpty():
                             raise ConstraintError(f"foreign key of {child} to {parent}")
     raise RuntimeError(f"no end after {most_rounds} rounds")
 
 
+def follow_update(tables: dict[str, DataFrame], constraints: dict[str, Constraints], name: str, old: DataFrame, sets: dict[str, str], where: str | None) -> dict[str, DataFrame]:
+    """All tables after rows of `name` were updated: children whose key changed follow by their foreign keys' action.
+
+    tables has the table's new rows, old its former ones; sets and where are those of the update. Children's
+    own children aren't followed: a key that is both is refused by the check of their foreign key.
+    """
+    tables = dict(tables)
+    for child, rules in constraints.items():
+        for fk in rules.foreign_keys:
+            if fk.parent != name or not set(fk.parent_columns) & set(sets):
+                continue
+            hit = old.filter(F.coalesce(F.expr(where), F.lit(False))) if where else old
+            new = [F.expr(sets[p]).cast(old.schema[p].dataType) if p in sets else F.col(p) for p in fk.parent_columns]
+            same = F.lit(True)
+            for p, n in zip(fk.parent_columns, new, strict=True):
+                same = same & F.col(p).eqNullSafe(n)
+            moved = hit.filter(~same).select(*(F.col(p).alias(f"_o{i}") for i, p in enumerate(fk.parent_columns)), *(n.alias(f"_n{i}") for i, n in enumerate(new))).checkpoint()
+            if moved.isEmpty():
+                continue
+            action = fk.on_update.lower()
+            rows = tables[child]
+            on = [F.col(c) == F.col(f"_o{i}") for i, c in enumerate(fk.columns)]
+            if action in ("no action", "restrict"):
+                if not rows.join(moved, on, "left_semi").isEmpty():
+                    raise ConstraintError(f"foreign key of {child} to {name}")
+                continue
+            value = lambda c, i, rules=rules, action=action: F.col(f"_n{i}") if action == "cascade" else F.expr(rules.defaults.get(c, "null")) if action == "set default" else F.lit(None)
+            place = {c: i for i, c in enumerate(fk.columns)}
+            both = rows.join(moved, on, "left")
+            tables[child] = both.select(*(F.when(F.col("_o0").isNotNull(), value(c, place[c])).otherwise(F.col(c)).cast(rows.schema[c].dataType).alias(c) if c in place else F.col(c) for c in rows.columns))
+            checked(tables[child], Constraints(not_null=rules.not_null, foreign_keys=(fk,)), tables)
+    return tables
+
+
 def new_rowids(rows: DataFrame, table: DataFrame, rowid: str, order: list[str]) -> DataFrame:
     """rows with ids after the largest of the table, in a stated order: partition counts first, so that no task holds all rows."""
     start = table.agg(F.coalesce(F.max(rowid), F.lit(0)).alias("m")).first()["m"]

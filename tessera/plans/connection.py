@@ -18,6 +18,27 @@ from tessera.sources.catalog import Catalog
 from tessera.sources.tables import EACH, walk
 
 _numbers = itertools.count()
+#: The column type of each collation. NOCASE folds letters of all scripts here.
+COLLATED = {"NOCASE": "string collate UTF8_LCASE", "RTRIM": "string collate UTF8_BINARY_RTRIM"}
+#: Settings of a file or a cache, which has no counterpart here: their answers.
+FIXED = {
+    "encoding": "UTF-8", "data_version": 1, "temp_store": 0, "synchronous": 2, "journal_mode": "memory", "locking_mode": "normal", "cache_size": -2000, "page_size": 4096, "page_count": 1,
+    "freelist_count": 0, "auto_vacuum": 0, "max_page_count": 4294967294, "busy_timeout": 0, "secure_delete": 0, "wal_autocheckpoint": 1000, "analysis_limit": 0,
+}
+
+
+class _Lookup:
+    """Tables by name for the translator, and the columns that are their rows' ids."""
+
+    def __init__(self, connection: Connection):
+        self.connection = connection
+
+    def __call__(self, name: str):
+        return self.connection._table(name)
+
+    def rowid(self, name: str) -> str | None:
+        t = self.connection.catalog.tables.get(name.lower())
+        return t.primary_key[0] if t and len(t.primary_key) == 1 and affinity(t.types.get(t.primary_key[0])) == "INTEGER" else None
 
 
 class _Each:
@@ -65,6 +86,10 @@ class Connection:
         self.catalog = Catalog(self.spark)
         self._views: dict[str, tuple[str, DataFrame]] = {}
         self._extra: dict[str, DataFrame] = {}
+        self._stored: dict[str, tuple[dict, list[str] | None]] = {}  # views' queries
+        self._lookup = _Lookup(self)
+        self._changed: list[DataFrame] = []  # rows that statements changed, counted when asked for
+        self._total, self._last, self._inserted = 0, 0, None
         for name, cls in (("tessera_json_each", _Each), ("tessera_json_tree", _Tree)):
             self.spark.udtf.register(name, F.udtf(cls, returnType=EACH))
         python.register(self.spark)
@@ -83,7 +108,7 @@ class Connection:
             data.createOrReplaceTempView(known[0])
         return known[0]
 
-    def _lookup(self, name: str):
+    def _table(self, name: str):
         n = name.lower()
         if n.startswith("pragma_"):
             what, _, arg = n[7:].rstrip(")").partition("(")
@@ -92,12 +117,30 @@ class Connection:
             data = self.catalog.schema()
         elif n in self._extra:
             data = self._extra[n]
+        elif n in self._stored and n in self.catalog.views:
+            # a view's query runs over the tables as they are now
+            q, cols = self._stored[n]
+            data = self._query(q)
+            data = data.toDF(*cols) if cols else data
         elif n in self.catalog.tables or n in self.catalog.views:
             data = self.catalog.table(n)
         else:
             return None
         return self._spark_name(n, data), [(c, storage_class(t)) for c, t in data.dtypes]
 
+    def _counter(self, name: str) -> int:
+        if name == "last_insert_rowid":
+            return 0 if self._inserted is None else self._inserted.first()[0] or 0
+        if self._changed:
+            last = [d.count() for d in self._changed]
+            self._total += sum(last[:-1])
+            self._changed, self._last = [], last[-1]
+            self._total += self._last
+        return self._last if name == "changes" else self._total
+
+    def _translator(self) -> Translator:
+        return Translator(self._lookup, self._counter)
+
     # --- statements
 
     def execute(self, sql: str, params=()) -> Cursor:
@@ -137,7 +180,7 @@ class Connection:
     def sql(self, sql: str, params=()) -> str:
         """The Spark SQL that a query becomes."""
         p = Parser(split_statements(sql)[0], params)
-        return Translator(self._lookup).query(p.query())[0]
+        return self._translator().query(p.query())[0]
 
     def _run(self, p: Parser) -> Cursor:
         word = p.peek()
@@ -180,7 +223,7 @@ class Connection:
         special = [n for n, _, sub in q.get("ctes") or [] if q["recursive"] and sub["kind"] == "compound" and _mentions(sub["right"], n) and (sub["op"] == "UNION" or sub["limit"])]
         if special:
             return self._iterated(q)
-        text, _ = Translator(self._lookup).query(q)
+        text, _ = self._translator().query(q)
         return self.spark.sql(text)
 
     def _iterated(self, q: dict) -> DataFrame:
@@ -199,7 +242,7 @@ class Connection:
                         out = self._query(_select(sub["right"])).toDF(*seed.columns)
                         return out.select(*(F.col(f"`{c}`").cast(t) for c, t in seed.dtypes))
 
-                    limit = Translator(self._lookup)._count(sub["limit"])
+                    limit = self._translator()._count(sub["limit"])
                     made = recursive(seed, step, distinct=sub["op"] == "UNION", limit=limit)
                 else:
                     made = self._query(sub)
@@ -217,12 +260,12 @@ class Connection:
         """An expression over a table's own columns."""
         data = self.catalog.tables[table.lower()].data
         scope = Scope(sources=[(alias or table, [(c, storage_class(t)) for c, t in data.dtypes])])
-        return Translator(self._lookup).expr(x, scope)[0].replace(f"{ident(alias or table)}.", "")
+        return self._translator().expr(x, scope)[0].replace(f"{ident(alias or table)}.", "")
 
     def _truth(self, x, table: str) -> str:
         data = self.catalog.tables[table.lower()].data
         scope = Scope(sources=[(table, [(c, storage_class(t)) for c, t in data.dtypes])])
-        return Translator(self._lookup).truth(x, scope).replace(f"{ident(table)}.", "")
+        return self._translator().truth(x, scope).replace(f"{ident(table)}.", "")
 
     def _rules(self, t) -> dml.Constraints:
         key = (t.primary_key,) if t.primary_key else ()
@@ -255,6 +298,8 @@ class Connection:
             t = self.catalog.tables[name.lower()]
             by_name = {c.lower(): c for c in t.data.columns}
             new, changed = dml.update(t.data, {by_name[k.lower()]: self._fragment(x, name) for k, x in sets.items()}, self._truth(where, name) if where else None)
+            if self.catalog.settings["foreign_keys"]:
+                self._follow(name, t.data, {by_name[k.lower()]: self._fragment(x, name) for k, x in sets.items()}, self._truth(where, name) if where else None, new)
             dml.checked(new, self._rules(t), self._parents())
         else:
             p.expect("DELETE", "FROM")
@@ -269,10 +314,20 @@ class Connection:
                 for n, data in after.items():
                     if data is not self.catalog.tables[n].data and n != name.lower():
                         self._store(n, data)
+        if p.i == len(p.t) or p.peek() == "RETURNING":
+            self._changed.append(changed)
         result = self._returning(p, name, changed)
         self._store(name, new)
         return result
 
+    def _follow(self, name: str, old: DataFrame, sets: dict[str, str], where: str | None, new: DataFrame) -> None:
+        """Child rows after an update of the keys that they refer to."""
+        rules = {n: x.constraints for n, x in self.catalog.tables.items()}
+        after = dml.follow_update(self._parents() | {name.lower(): new}, rules, name.lower(), old, sets, where)
+        for n, data in after.items():
+            if data is not self.catalog.tables[n].data and n != name.lower():
+                self._store(n, data)
+
     def _insert(self, p: Parser) -> Cursor:
         conflict = "replace" if p.accept("REPLACE") else "abort"
         if conflict == "abort":
@@ -307,7 +362,7 @@ class Connection:
             if p.accept("UPDATE"):
                 p.expect("SET")
                 sets, scope = {}, Scope(sources=[(name, [(c, storage_class(k)) for c, k in t.data.dtypes]), ("excluded", [(c, storage_class(k)) for c, k in t.data.dtypes])])
-                made = lambda x, f: getattr(Translator(self._lookup), f)(_qualified(x, name), scope)
+                made = lambda x, f: getattr(self._translator(), f)(_qualified(x, name), scope)
                 while True:
                     col = by_name[p.name().lower()]
                     p.expect("=")
@@ -319,12 +374,18 @@ class Connection:
             else:
                 p.expect("NOTHING")
             new = dml.upsert(t.data, rows, target, sets, where, rules)
-        elif conflict in ("ignore", "replace") and key:
-            new = dml.insert(t.data, rows, rules, conflict, tuple(key))
+        elif conflict in ("ignore", "replace"):
+            before, new = t.data, dml.insert(t.data, rows, rules, conflict, tuple(key), self._parents())
         else:
             new = dml.insert(t.data, rows, dml.Constraints(defaults=rules.defaults, generated=rules.generated))
             dml.checked(new, rules, self._parents())
-        result = self._returning(p, name, dml.completed(rows, t.data, rules))
+        made = dml.completed(rows, t.data, rules)
+        # ids that come from a query needn't be in its order: the largest new one is the last
+        added = made if conflict != "ignore" else new.exceptAll(before)
+        self._changed.append(added)
+        if (key_column := self._lookup.rowid(name)) is not None:
+            self._inserted = added.agg(F.max(key_column))
+        result = self._returning(p, name, made)
         self._store(name, new)
         return result
 
@@ -351,8 +412,8 @@ class Connection:
             maybe = p.accept("IF", "EXISTS")
             name = p.table_name()
             if kind == "index":
-                for t in self.catalog.tables.values():
-                    t.indexes.pop(name, None)
+                if not self.catalog.drop_index(name) and not maybe:
+                    raise SqlError(f"no such index: {name}")
             elif name.lower() in self.catalog.tables or name.lower() in self.catalog.views:
                 self.catalog.drop(name)
             elif not maybe:
@@ -366,7 +427,9 @@ class Connection:
                 p.accept("COLUMN")
                 old = p.name()
                 p.expect("TO")
-                self.catalog.rename_column(name, old, p.name())
+                new = p.name()
+                self.catalog.rename_column(name, old, new)
+                self._stored = {v: (_renamed(q, old, new) if _mentions(q, name) else q, cols) for v, (q, cols) in self._stored.items()}
             elif p.accept("ADD"):
                 p.accept("COLUMN")
                 col = p.name()
@@ -401,7 +464,9 @@ class Connection:
             cols = p.names() if p.peek() == "(" else None
             p.expect("AS")
             text = " ".join(t for _, t in p.t[p.i :])
-            self.catalog.create_view(name, text, self._query(p.query()), cols)
+            q = p.query()
+            self.catalog.create_view(name, text, self._query(q), cols)
+            self._stored[name.lower()] = (q, cols)
         elif kind == "table" and p.accept("AS"):
             self.register(name, self._query(p.query()).checkpoint())
         elif kind == "table":
@@ -413,6 +478,7 @@ class Connection:
         p.expect("(")
         types, primary, not_null, unique, defaults, generated, keys = {}, (), [], [], {}, {}, []
         late: list[tuple] = []
+        collations: dict[str, str] = {}
         while True:
             if p.accept("CONSTRAINT"):
                 p.name()
@@ -459,7 +525,7 @@ class Connection:
                     elif p.accept("DEFAULT"):
                         late.append(("default", col, p._unary()))
                     elif p.accept("COLLATE"):
-                        p.name()
+                        collations[col] = p.name().upper()
                     elif p.peek() == "REFERENCES":
                         keys.append(self._reference(p, (col,)))
                     else:
@@ -474,6 +540,12 @@ class Connection:
                 break
         p.expect(")")
         self.catalog.create(name, types, primary)
+        for col, collation in collations.items():
+            if collation not in ("BINARY", *COLLATED):
+                raise SqlError(f"no such collation sequence: {collation}")
+            if collation != "BINARY" and affinity(types[col]) == "TEXT":
+                t = self.catalog.tables[name.lower()]
+                t.data = t.data.withColumn(col, F.expr(f"cast({ident(col)} as {COLLATED[collation]})"))
         checks = []
         for item in late:
             if item[0] == "check":
@@ -486,12 +558,16 @@ class Connection:
         p.expect("REFERENCES")
         parent = p.name()
         to = tuple(p.names()) if p.peek() == "(" else self.catalog.tables[parent.lower()].primary_key
-        action = "no action"
-        while p.accept("ON"):
-            what = p.name().upper()
-            act = " ".join([p.name(), *([p.name()] if p.peek() in ("NULL", "DEFAULT", "ACTION") else [])]).lower()
-            action = act if what == "DELETE" else action
-        return dml.ForeignKey(cols, parent.lower(), to, action)
+        actions = {"DELETE": "no action", "UPDATE": "no action"}
+        while True:
+            if p.accept("ON"):
+                what = p.name().upper()
+                actions[what] = " ".join([p.name(), *([p.name()] if p.peek() in ("NULL", "DEFAULT", "ACTION") else [])]).lower()
+            elif p.accept("MATCH") or p.accept("INITIALLY"):
+                p.name()
+            elif not (p.accept("NOT", "DEFERRABLE") or p.accept("DEFERRABLE")):
+                break
+        return dml.ForeignKey(cols, parent.lower(), to, actions["DELETE"], actions["UPDATE"])
 
     def _pragma(self, name: str, arg) -> DataFrame | None:
         c = self.catalog
@@ -500,6 +576,9 @@ class Connection:
                 c.settings[name] = {"on": 1, "off": 0, "true": 1, "false": 0}.get(str(arg).lower(), arg)
                 return None
             return self.spark.createDataFrame([(int(c.settings[name]),)], f"{name} long")
+        if name in FIXED:
+            value = FIXED[name]
+            return None if arg is not None else self.spark.createDataFrame([(value,)], f"{name} {'string' if isinstance(value, str) else 'long'}")
         plain = {"table_list": c.table_list, "database_list": c.database_list, "collation_list": c.collation_list, "integrity_check": c.integrity_check, "quick_check": c.integrity_check}
         if name in plain:
             return plain[name]()
@@ -516,6 +595,15 @@ def _mentions(q, name: str) -> bool:
     return any(_mentions(v, name) for v in q) if isinstance(q, tuple | list) else False
 
 
+def _renamed(q, old: str, new: str):
+    """A query with another name for a column."""
+    if isinstance(q, dict):
+        return {k: _renamed(v, old, new) for k, v in q.items()}
+    if isinstance(q, tuple) and len(q) == 3 and q[0] == "col" and q[2].lower() == old.lower():
+        return ("col", q[1], new)
+    return type(q)(_renamed(x, old, new) for x in q) if isinstance(q, tuple | list) else q
+
+
 def _qualified(x, table: str):
     """Bare columns of an upsert mean the stored row."""
     if isinstance(x, tuple):

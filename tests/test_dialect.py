@@ -13,6 +13,8 @@ create table emp(id integer primary key, name text, dept text, salary integer, b
 insert into emp values (1,'Ann','dev',120,5,null),(2,'bob','dev',90,null,1),(3,'Cid',null,80,2,1),(4,'dan','ops',95,0,2),(5,'Eve','ops',null,7,2),(6,'fay','qa',70,null,3),(7,'Gus','dev',90,1,1),(8,'hal','none',60,3,null);
 create table dept(name text, floor integer, budget integer);
 insert into dept values ('dev',1,1000),('ops',2,500),('qa',null,100),(null,4,7),('lab',5,0);
+create table cs(id integer primary key, w text collate nocase, r text collate rtrim, b text);
+insert into cs values (1,'Aa','x ','q'),(2,'aA','x','Q'),(3,'b','y','q'),(4,'B','y  ','z'),(5,null,null,null);
 create table j(id integer, doc text);
 insert into j values (1,'{"a":1,"b":[2,3]}'),(2,'[4,5]'),(3,null);
 """
@@ -71,6 +73,36 @@ select name from emp where name = 'ANN' collate nocase
 select printf('%5d|%-5d|%05d|%+d|%x|%X|%o|%,d', 42, 42, 42, 42, 255, 255, 8, 1234567), printf('%.2f|%8.3f|%e|%g', 3.14159, 2.5, 12345.678, 0.0001)
 select printf('%s|%.2s|%10s|%-6s|', 'abc', 'abc', 'abc', 'abc'), printf('%q %Q %w', 'it''s', 'it''s', 'a"b'), printf('%d%% %c', 5, 'xyz'), printf('%d %s', 'nope')
 select id, printf('%s:%d', name, salary) from emp order by id
+select w, count(*) from cs group by w having w is not null order by 2, 1 limit 0
+select count(*) from (select distinct w from cs)
+select count(distinct w), count(distinct r), count(distinct b) from cs
+select id from cs where w = 'AA' order by id
+select id from cs where w = 'AA' collate binary order by id
+select id from cs where r = 'x   ' order by id
+select id from cs where w in ('aa', 'B') order by id
+select a.id, b.id from cs a join cs b on a.w = b.w and a.id < b.id order by 1
+select id from cs order by w, id desc
+select count(*) from cs where b = 'q' collate nocase
+select 1 = '1', 1 < 'a', 'a' > 5, '1' = 1, 2 <> '2', null = '1'
+select id from emp where salary = '90' order by id
+select name from dept where floor = '1'
+select 5.5 % 2, 7 % 2, min(1, 'a'), max(1, 'a', 3.5), min(2, 'x', 1.5), max('b', 'a')
+select cast(5 as numeric), typeof(cast(5 as numeric)), typeof(5.5 % 2)
+select substr('hello', 2), substr('hello', 0), substr('hello', -2), substr('hello', 2, -1), substr('hello', -9, 6), substr('hello', 3, 100), substr('hello', -1, -2), substr(null, 1), substr('hello', 9)
+select json_set('{"a":1}', '$.b', 2, '$.c.d', 'x'), json_insert('{"a":1}', '$.a', 9, '$.b', 1.50), json_replace('[1,2,3]', '$[1]', 'q')
+select json_remove('{"a":1,"b":[1,2,3]}', '$.b[#-1]'), json_patch('{"a":1,"b":2}', '{"b":null,"c":3}'), json_array(1, 2.5, 'x', null, json('[1]')), json_object('a', 1, 'b', json_array(1, 2))
+select json_quote('it"s'), json_quote(3.0), json_quote(null), json_type('{"a":[1,2.5,null,true,"x"]}', '$.a[1]'), json_type('[]')
+select json_extract('{"a":[1,2,3]}', '$.a[#-1]'), json_extract('{"a":1,"b":"x"}', '$.a', '$.b'), json_extract('{"a":{"b":2.5}}', '$.a'), json_extract('{"a":true}', '$.a')
+select typeof(json_extract('{"a":1}', '$.a')), typeof(json_extract('{"a":"x"}', '$.a')), typeof('{"a":1.5}' ->> '$.a'), typeof('{"a":1}' ->> '$.zz')
+select '[1,2,3]' -> 1, '[1,2,3]' ->> 2, '{"a":1.50}' -> 'a', '{"a":"x"}' -> 'a', '{"a":"x"}' ->> 'a'
+select id, doc -> ('$.' || 'a'), json_extract(doc, '$.b[' || (id - 1) || ']') from j order by id
+select id from j where json_extract(doc, '$.a') = 1
+select json_group_array(salary) from emp where dept = 'none'
+select name from emp where name glob substr(name, 1, 1) || '*' order by id
+select 'b' glob '[c-a]', 'b' glob '[a-c]', 'b' glob '[^c-a]', '-' glob '[a-]', ']' glob '[]]'
+select rowid, name from emp where rowid between 2 and 3 order by rowid
+select e.rowid, e._rowid_ from emp e where e.oid = 4
+select length(randomblob(20)), typeof(randomblob(3))
 select hex('a'), quote('it''s'), char(65, 66), unicode('A'), trim('  x '), ltrim('xxy', 'x')
 """
 
@@ -101,6 +133,18 @@ def test_query(both, sql):
     assert len(got) == len(want) and all(same(a, b) for r, s in zip(got, want, strict=True) for a, b in zip(r, s, strict=True)), (got, want)
 
 
+def test_json_beyond_the_library_at_hand(spark):
+    own = connect(spark)
+    one = lambda sql: own.execute(f"select {sql}").fetchone()
+    assert one("""json('{a:1, b:[.5, 0x10, +3, "x",],}'), json_array_length('[1,2,3]'), json_array_length('{"a":[1]}', '$.a'), json_array_length('{"a":1}', '$.b')""") == ('{"a":1,"b":[0.5,16,3,"x"]}', 3, 1, None)
+    assert one("""'[1,2,3]' -> -1, '[1,2,3]' ->> -1, json_error_position('{"a":}') > 0, json_error_position('[1]'), jsonb_array_length('[1,2]')""") == ("3", "3", 1, 0, 2)
+    assert one("""json_valid('{"a":1}'), json_valid('nope'), json_pretty('{"a":[1,2],"b":{}}')""") == (1, 0, '{\n    "a": [\n        1,\n        2\n    ],\n    "b": {}\n}')
+    assert one("json_array_insert('[1,2,3]', '$[1]', 9), json_array_insert('[1]', '$[#]', 2), jsonb_set('[1]', '$[0]', json('{}'))") == ("[1,9,2,3]", "[1,2]", "[{}]")
+    for bad in ("json('{')", "json_set('{}', 'a', 1)", "json_object(1, 2)"):
+        with pytest.raises(Exception, match="JSON|PathError|labels"):
+            one(bad)
+
+
 def test_changes(spark):
     own, lite = connect(spark), sqlite3.connect(":memory:")
     script = [
@@ -133,6 +177,52 @@ def test_changes(spark):
     assert own.execute("select count(*) from t").fetchone() != (0,)
 
 
+def test_conflicts_views_indexes_and_counters(spark):
+    own, lite = connect(spark), sqlite3.connect(":memory:")
+    script = [
+        "create table t(id integer primary key, u text unique, n integer not null default 7, m integer check (m > 0))",
+        "insert or ignore into t values (1, 'a', null, 1), (2, 'b', 2, 0), (3, 'c', 3, 3), (4, 'c', 4, 4), (5, null, 5, null), (6, null, 6, 6)",
+        "insert or replace into t values (7, 'c', null, 9)",
+        "insert or replace into t values (5, 'e', 50, 5)",
+        "create unique index tn on t(n)",
+        "insert or ignore into t values (20, 'zz', 50, 1), (21, 'zy', 51, 1)",
+        "drop index tn",
+        "insert into t values (22, 'dup', 51, 1)",
+        "create view big(k, v) as select id, n from t where n >= 50",
+        "insert into t values (30, 'later', 500, 1)",
+    ]
+    for s in script:
+        own.execute(s)
+        lite.execute(s)
+        count = "select changes()"
+        if s.startswith("insert"):
+            assert own.execute(count).fetchone() == lite.execute(count).fetchone(), s
+    for q in ("select * from t order by id", "select * from big order by k", "select total_changes(), last_insert_rowid()"):
+        assert own.execute(q).fetchall() == lite.execute(q).fetchall(), q
+    own.execute("update t set n = n + 1 where id > 20")
+    assert own.execute("select changes()").fetchone() == (3,)
+    assert own.execute("pragma encoding").fetchone() == ("UTF-8",) and own.execute("pragma page_size").fetchone() == (4096,)
+
+
+def test_foreign_key_actions(spark):
+    script = [
+        "pragma foreign_keys = on", "create table p(id integer primary key, code text unique)", "insert into p values (1, 'a'), (2, 'b'), (3, 'c'), (9, 'z')",
+        "create table c1(id integer primary key, p integer references p(id) on update cascade on delete set default)", "create table c2(id integer primary key, p integer default 9 references p(id) on delete set default on update set null)",
+        "insert into c1 values (10, 1), (11, 2), (12, null)", "insert into c2 values (20, 1), (21, 3)",
+        "update p set id = id + 100 where id = 1", "delete from p where id = 3", "update p set code = 'q' where id = 2",
+    ]
+    own, lite = connect(spark), sqlite3.connect(":memory:")
+    for s in script:
+        own.execute(s)
+        lite.execute(s)
+    for t in ("p", "c1", "c2"):
+        assert own.execute(f"select * from {t} order by id").fetchall() == lite.execute(f"select * from {t} order by id").fetchall(), t
+    own.execute("create table c3(id integer primary key, p integer references p(id))")
+    own.execute("insert into c3 values (1, 2)")
+    with pytest.raises(Exception, match="foreign key"):
+        own.execute("update p set id = 77 where id = 2")
+
+
 def test_foreign_keys_parameters_and_errors(spark):
     own = connect(spark)
     own.executescript("pragma foreign_keys = on; create table p(id integer primary key); create table k(id integer primary key, p integer references p(id) on delete cascade); insert into p values (1), (2); insert into k values (10, 1), (11, 2), (12, null)")
