@@ -14,21 +14,37 @@ HEADLINE = ("pricing_summary", "s4_index_range", "s8_count_range", "p3_conjuncti
 
 
 def people(spark):
-    """The published micro-benchmark's tables: 100,000 people, 200 tags, 8 cities, cached as its file cache would be."""
+    """The published micro-benchmark's rows through the dialect: 100,000 people, 200 tags, 8 cities and 10,000 documents, cached as its file cache would be."""
     from pyspark.sql import functions as F
 
+    from tessera.plans.connection import connect
+
     n = spark.range(100_000).select(F.col("id"), F.concat(F.lit("name"), F.col("id")).alias("name"), (F.pmod(F.xxhash64("id"), F.lit(73)) + 18).alias("age"), F.concat(F.lit("city"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(8))).alias("city")).cache()
     tags = spark.range(200).select(F.concat(F.lit("name"), F.col("id") * 491).alias("name"), F.concat(F.lit("tag"), F.col("id")).alias("tag")).cache()
     cities = spark.range(8).select(F.concat(F.lit("city"), F.col("id")).alias("city"), F.concat(F.lit("country"), F.col("id") % 3).alias("country")).cache()
     for t in (n, tags, cities):
         t.count()
+    docs = spark.range(10_000).select(F.col("id"), F.concat(F.lit('{"n":'), F.col("id"), F.lit(',"tags":["a",{"b":'), F.col("id") % 7, F.lit("}]}")).alias("doc")).cache()
+    docs.count()
+    db = connect(spark, people=n, tags=tags, cities=cities, docs=docs)
     return {
-        "people_count_filter": lambda: n.filter("age > 50").agg(F.count("*")),
-        "people_scan": lambda: n,
-        "people_group": lambda: n.groupBy("city").agg(F.count("*"), F.avg("age"), F.max("age")),
-        "people_top10": lambda: n.orderBy("age", "name").limit(10),
-        "people_join_small": lambda: n.join(cities, "city").groupBy("country").agg(F.count("*")),
-        "people_join_tags": lambda: n.join(tags, "name").agg(F.count("*")),
+        name: lambda text=text: db.query(text)
+        for name, text in {
+            "people_count_filter": "SELECT count(*) FROM people WHERE age > 50",
+            "people_scan": "SELECT * FROM people",
+            "people_group": "SELECT city, count(*), avg(age), max(age) FROM people GROUP BY city",
+            "people_top10": "SELECT * FROM people ORDER BY age, name LIMIT 10",
+            "people_join_small": "SELECT c.country, count(*) FROM people p JOIN cities c ON p.city = c.city GROUP BY c.country",
+            "people_join_tags": "SELECT count(*) FROM people p JOIN tags t ON p.name = t.name",
+            "people_compound_where": "SELECT count(*) FROM people WHERE age > 30 AND age < 60 AND city <> 'city3' OR name LIKE '%99'",
+            "docs_json_filter": "SELECT count(*) FROM docs WHERE json_extract(doc, '$.n') > 5000",
+            "docs_json_group": "SELECT doc ->> '$.tags[1].b', count(*) FROM docs GROUP BY 1",
+            "docs_json_set": "SELECT json_set(doc, '$.n', 1, '$.x', 'new') FROM docs",
+            "docs_json_each": "SELECT count(*) FROM docs, json_each(docs.doc)",
+            "docs_json_tree": "SELECT count(*) FROM docs, json_tree(docs.doc)",
+            "docs_json_group_array": "SELECT json_group_array(id) FROM docs",
+            "docs_json_valid": "SELECT count(*) FROM docs WHERE json_valid(doc)",
+        }.items()
     }
 
 

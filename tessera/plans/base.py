@@ -40,6 +40,20 @@ def query(sql: str | None = None):
     return register
 
 
+def run_statement(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """A query of the dialect, parsed and translated, over the tables of a data folder that it names."""
+    from tessera.plans.connection import connect
+
+    named = {t for t in TABLES if re.search(rf"\b{t}\b", text, re.I)}
+    return connect(spark, **{t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in named}).query(text)
+
+
+def statement(name: str, text: str, oracle: str | None = None) -> None:
+    """Register a query of the dialect, which goes through its own parser and translator; the oracle runs its own text or the same one."""
+    QUERIES[name] = lambda spark, sf_dir: run_statement(spark, sf_dir, text)
+    ORACLE_SQL[name] = text if oracle is None else oracle
+
+
 def portable(name: str, text: str, oracle: str | None = None) -> None:
     """Register Spark SQL; the oracle runs its own text or the same one."""
     QUERIES[name] = lambda spark, sf_dir: run_sql(spark, sf_dir, text)

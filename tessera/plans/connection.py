@@ -12,9 +12,9 @@ from tessera.functions import python
 from tessera.functions.core import affinity
 from tessera.operators import dml
 from tessera.plans.dialect import Parser, SqlError, _select, split_statements
-from tessera.plans.translate import Scope, Translator, ident, storage_class
+from tessera.plans.translate import Scope, Translator, _has_aggregate, ident, storage_class
 from tessera.session import get_session, ship_package
-from tessera.sources.catalog import Catalog
+from tessera.sources.catalog import Catalog, Trigger
 from tessera.sources.tables import EACH, walk
 
 _numbers = itertools.count()
@@ -88,6 +88,8 @@ class Connection:
         self._extra: dict[str, DataFrame] = {}
         self._stored: dict[str, tuple[dict, list[str] | None]] = {}  # views' queries
         self._lookup = _Lookup(self)
+        self._fired: tuple | None = None  # the rows that the running trigger was fired by, as a source
+        self._running: list[str] = []  # triggers
         self._changed: list[DataFrame] = []  # rows that statements changed, counted when asked for
         self._total, self._last, self._inserted = 0, 0, None
         for name, cls in (("tessera_json_each", _Each), ("tessera_json_tree", _Tree)):
@@ -187,9 +189,11 @@ class Connection:
         if word in ("SELECT", "VALUES", "WITH"):
             out = self._query(p.query())
         elif p.accept("EXPLAIN"):
-            p.accept("QUERY", "PLAN")
-            plan = self._query(p.query())._jdf.queryExecution().toString()
-            return Cursor(self.spark.createDataFrame([(plan,)], "plan string"))
+            steps = p.accept("QUERY", "PLAN")
+            execution = self._query(p.query())._jdf.queryExecution()
+            if steps:
+                return Cursor(self.spark.createDataFrame(_plan_rows(execution.sparkPlan().toString()), "id long, parent long, notused long, detail string"))
+            return Cursor(self.spark.createDataFrame([(execution.toString(),)], "plan string"))
         elif word in ("INSERT", "REPLACE", "UPDATE", "DELETE"):
             return self._change(p)
         elif p.accept("BEGIN"):
@@ -208,6 +212,11 @@ class Connection:
             data = self._pragma(name, arg)
             return Cursor(data)
         elif word in ("ANALYZE", "VACUUM", "REINDEX"):  # nothing to keep up here
+            p.i += 1
+            if word == "VACUUM" and p.accept("INTO"):  # each table as Parquet in a new folder
+                folder = p.name()
+                for n, t in self.catalog.tables.items():
+                    t.data.write.parquet(f"{folder}/{n}.parquet")
             return Cursor(None)
         elif word in ("CREATE", "DROP", "ALTER"):
             self._define(p)
@@ -286,6 +295,8 @@ class Connection:
             if p.accept("OR"):
                 p.name()
             name = p.table_name()
+            if name.lower() in self.catalog.views:
+                return self._instead(p, name, "UPDATE")
             p.expect("SET")
             sets = {}
             while True:
@@ -297,6 +308,11 @@ class Connection:
             where = p.expr() if p.accept("WHERE") else None
             t = self.catalog.tables[name.lower()]
             by_name = {c.lower(): c for c in t.data.columns}
+            if self._fired:
+                return self._update_fired(name, {by_name[k.lower()]: x for k, x in sets.items()}, where)
+            fired = self._pairs(t.data, {by_name[k.lower()]: self._fragment(x, name) for k, x in sets.items()}, self._truth(where, name) if where else None) if self._triggers(name, "UPDATE") else None
+            event, columns = "UPDATE", list(sets)
+            self._fire("BEFORE", event, name, fired, columns)
             new, changed = dml.update(t.data, {by_name[k.lower()]: self._fragment(x, name) for k, x in sets.items()}, self._truth(where, name) if where else None)
             if self.catalog.settings["foreign_keys"]:
                 self._follow(name, t.data, {by_name[k.lower()]: self._fragment(x, name) for k, x in sets.items()}, self._truth(where, name) if where else None, new)
@@ -304,8 +320,15 @@ class Connection:
         else:
             p.expect("DELETE", "FROM")
             name = p.table_name()
+            if name.lower() in self.catalog.views:
+                return self._instead(p, name, "DELETE")
             where = p.expr() if p.accept("WHERE") else None
             t = self.catalog.tables[name.lower()]
+            if self._fired:
+                return self._delete_fired(name, where)
+            event, columns = "DELETE", None
+            fired = dml.delete(t.data, self._truth(where, name) if where else None)[1].select(_struct("new", t.data, None), _struct("old", t.data, t.data.columns)) if self._triggers(name, event) else None
+            self._fire("BEFORE", event, name, fired)
             new, changed = dml.delete(t.data, self._truth(where, name) if where else None)
             if self.catalog.settings["foreign_keys"]:
                 changed = changed.checkpoint()
@@ -317,9 +340,168 @@ class Connection:
         if p.i == len(p.t) or p.peek() == "RETURNING":
             self._changed.append(changed)
         result = self._returning(p, name, changed)
+        if fired is not None:
+            fired = fired.checkpoint()
         self._store(name, new)
+        self._fire("AFTER", event, name, fired, columns)
         return result
 
+    # --- triggers: each statement of a program runs once, over all rows that fired it
+
+    def _triggers(self, name: str, event: str) -> list[Trigger]:
+        return [t for t in self.catalog.triggers.values() if t.table == name.lower() and t.event == event]
+
+    def _pairs(self, data: DataFrame, sets: dict[str, str], where: str | None) -> DataFrame:
+        """The rows that an update changes, as structs new and old."""
+        hit = data.filter(F.coalesce(F.expr(where), F.lit(False))) if where else data
+        new = [(F.expr(sets[c]).cast(data.schema[c].dataType) if c in sets else F.col(c)).alias(c) for c in data.columns]
+        return hit.select(F.struct(*new).alias("new"), _struct("old", data, data.columns))
+
+    def _fire(self, time: str, event: str, name: str, fired: DataFrame | None, columns: list[str] | None = None) -> None:
+        """Run the triggers of an event over its rows (structs new, old). A trigger doesn't fire itself."""
+        touched = None if columns is None else {c.lower() for c in columns}
+        for t in self._triggers(name, event):
+            if fired is None or t.time != time or t.name in self._running or t.columns is not None and touched is not None and not touched & set(t.columns):
+                continue
+            sources = [(s, [(f.name, storage_class(f.dataType.simpleString())) for f in fired.schema[s].dataType.fields]) for s in ("new", "old")]
+            rows = fired.filter(F.expr(self._translator().truth(t.when, Scope(sources=sources)))) if t.when else fired
+            rows = rows.checkpoint()
+            if rows.isEmpty():
+                continue
+            view = f"_tessera_{next(_numbers)}"
+            rows.createOrReplaceTempView(view)
+            before, self._fired = self._fired, (view, sources)
+            self._running.append(t.name)
+            try:
+                for statement in t.body:
+                    self._program(Parser(statement))
+            finally:
+                self._fired = before
+                self._running.pop()
+                self.spark.catalog.dropTempView(view)
+
+    def _program(self, p: Parser) -> None:
+        if p.peek() not in ("SELECT", "VALUES", "WITH"):
+            self._change(p)
+            return
+        q = p.query()
+        item = q["items"][0][0] if q["kind"] == "select" else None
+        if item and item[0] == "raise":
+            if item[1] == "IGNORE":
+                raise SqlError("RAISE(IGNORE) is not supported")
+            if not self._query(self._over_fired(q | {"items": [(("lit", 1, "int"), "one")]})).isEmpty():
+                raise dml.ConstraintError(item[2][1] if item[2] and item[2][0] == "lit" else "raised")
+
+    def _over_fired(self, q: dict) -> dict:
+        """A query of a program, for each row that fired it."""
+        source = ("fired", self._fired, None, "comma", None)
+        if q["kind"] == "values":
+            items = [[(x, f"column{i + 1}") for i, x in enumerate(r)] for r in q["rows"]]
+            parts = [_select({"kind": "select", "items": r, "from": [source]}) for r in items]
+            whole = parts[0]
+            for part in parts[1:]:
+                whole = _select({"kind": "compound", "op": "UNION ALL", "left": whole, "right": part})
+            return whole
+        if q["kind"] != "select" or q["limit"] is not None or q["group"] is not None or any(_has_aggregate(x) for x, _ in q["items"]):
+            raise SqlError("a trigger's query may not have aggregates, limits or compounds")
+        return q | {"from": [source, *q["from"]]}
+
+    def _joined(self, name: str, where) -> tuple[DataFrame, str, Scope]:
+        """The rows that fired a program, a statement's condition over them and a table, and the scope."""
+        data = self.catalog.tables[name.lower()].data
+        view, sources = self._fired
+        scope = Scope(sources=[(name, [(c, storage_class(k)) for c, k in data.dtypes]), *sources], hidden={"new", "old"})
+        return self.spark.table(view), self._translator().truth(where, scope) if where else "true", scope
+
+    def _delete_fired(self, name: str, where) -> Cursor:
+        t = self.catalog.tables[name.lower()]
+        rows, condition, _ = self._joined(name, where)
+        fired = None
+        if self._triggers(name, "DELETE"):
+            gone = t.data.alias(name).join(rows, F.expr(condition), "left_semi").select(*t.data.columns)
+            fired = gone.select(_struct("new", t.data, None), _struct("old", t.data, t.data.columns)).checkpoint()
+            self._fire("BEFORE", "DELETE", name, fired)
+        self._store(name, t.data.alias(name).join(rows, F.expr(condition), "left_anti").select(*t.data.columns))
+        self._fire("AFTER", "DELETE", name, fired)
+        return Cursor(None)
+
+    def _update_fired(self, name: str, sets: dict, where) -> Cursor:
+        """An update by the rows that fired it; where several rows meet one row of the table, their order would matter, which is refused."""
+        t = self.catalog.tables[name.lower()]
+        rows, condition, scope = self._joined(name, where)
+        marked = t.data.withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+        met = marked.alias(name).join(rows, F.expr(condition)).checkpoint()
+        if not met.groupBy("_row").agg(F.count("*").alias("_times")).filter("_times > 1").isEmpty():
+            raise SqlError("several rows of a trigger update one row")
+        values = {c: self._translator().expr(x, scope)[0] for c, x in sets.items()}
+        new = met.select("_row", *((F.expr(values[c]).cast(t.data.schema[c].dataType) if c in values else F.col(f"`{name}`.`{c}`")).alias(c) for c in t.data.columns))
+        after = marked.join(new.select("_row"), "_row", "left_anti").select(*t.data.columns).unionAll(new.select(*t.data.columns))
+        dml.checked(after, self._rules(t), self._parents())
+        fired = None
+        if self._triggers(name, "UPDATE"):
+            both = new.select("_row", F.struct(*t.data.columns).alias("new")).join(marked.select("_row", F.struct(*t.data.columns).alias("old")), "_row")
+            fired = both.select("new", "old").checkpoint()
+            self._fire("BEFORE", "UPDATE", name, fired, list(sets))
+        self._store(name, after)
+        self._fire("AFTER", "UPDATE", name, fired, list(sets))
+        return Cursor(None)
+
+    def _instead(self, p: Parser, name: str, event: str, rows: DataFrame | None = None) -> Cursor:
+        """A change of a view: its INSTEAD OF triggers run."""
+        if not any(t.time == "INSTEAD OF" for t in self._triggers(name, event)):
+            raise SqlError(f"cannot modify {name} because it is a view")
+        spark_name, cols = self._table(name)
+        data = self.spark.table(spark_name)
+        scope = Scope(sources=[(name, cols)])
+        plain = lambda e: e.replace(f"{ident(name)}.", "")
+        columns = None
+        if event == "INSERT":
+            fired = rows.select(_struct("new", data, data.columns), _struct("old", data, None))
+        else:
+            sets = {}
+            if event == "UPDATE":
+                p.expect("SET")
+                while True:
+                    col = p.name()
+                    p.expect("=")
+                    sets[next(c for c in data.columns if c.lower() == col.lower())] = plain(self._translator().expr(p.expr(), scope)[0])
+                    if not p.accept(","):
+                        break
+                columns = list(sets)
+            where = plain(self._translator().truth(p.expr(), scope)) if p.accept("WHERE") else None
+            fired = self._pairs(data, sets, where) if event == "UPDATE" else dml.delete(data, where)[1].select(_struct("new", data, None), _struct("old", data, data.columns))
+        self._fire("INSTEAD OF", event, name, fired, columns)
+        return Cursor(None)
+
+    def _define_trigger(self, p: Parser, name: str, maybe: bool) -> None:
+        if name.lower() in self.catalog.triggers:
+            if maybe:
+                return
+            raise SqlError(f"trigger {name} already exists")
+        time = "INSTEAD OF" if p.accept("INSTEAD", "OF") else "AFTER" if p.accept("AFTER") else "BEFORE"
+        p.accept("BEFORE")
+        event, columns = p.name().upper(), None
+        if event == "UPDATE" and p.accept("OF"):
+            columns = [p.name().lower()]
+            while p.accept(","):
+                columns.append(p.name().lower())
+        p.expect("ON")
+        table = p.table_name().lower()
+        if (table in self.catalog.views) != (time == "INSTEAD OF") or table not in self.catalog.tables and table not in self.catalog.views:
+            raise SqlError(f"cannot create {time} trigger on {table}")
+        p.accept("FOR", "EACH", "ROW")
+        when = p.expr() if p.accept("WHEN") else None
+        p.expect("BEGIN")
+        body: list[list] = [[]]
+        for t in p.t[p.i : -1]:
+            if t == ("op", ";"):
+                body.append([])
+            else:
+                body[-1].append(t)
+        if p.t[-1][1].upper() != "END":
+            raise SqlError("incomplete input")
+        self.catalog.triggers[name.lower()] = Trigger(name, table, time, event, tuple(columns) if columns else None, when, [s for s in body if s], " ".join(t for _, t in p.t))
+
     def _follow(self, name: str, old: DataFrame, sets: dict[str, str], where: str | None, new: DataFrame) -> None:
         """Child rows after an update of the keys that they refer to."""
         rules = {n: x.constraints for n, x in self.catalog.tables.items()}
@@ -336,6 +518,15 @@ class Connection:
                 conflict = p.name().lower()
         p.expect("INTO")
         name = p.table_name()
+        if name.lower() in self.catalog.views:
+            data = self.spark.table(self._table(name)[0])
+            given = p.names() if p.peek() == "(" else data.columns
+            q = p.query()
+            rows = self._query(self._over_fired(q) if self._fired else q).toDF(*given)
+            for f in data.schema:
+                if f.name.lower() not in {c.lower() for c in given}:
+                    rows = rows.withColumn(f.name, F.lit(None).cast(f.dataType))
+            return self._instead(p, name, "INSERT", rows)
         t = self.catalog.tables.get(name.lower())
         if t is None:
             raise SqlError(f"no such table: {name}")
@@ -346,7 +537,8 @@ class Connection:
             rows = self.spark.range(1).select()
             cols = []
         else:
-            rows = self._query(p.query())
+            q = p.query()
+            rows = self._query(self._over_fired(q) if self._fired else q)
             if len(rows.columns) != len(cols):
                 raise SqlError(f"{len(rows.columns)} values for {len(cols)} columns")
             rows = rows.select(*(F.expr(f"try_cast({ident(o)} as {t.data.schema[n].dataType.simpleString()})").alias(n) for o, n in zip(rows.columns, cols, strict=True)))
@@ -380,6 +572,10 @@ class Connection:
             new = dml.insert(t.data, rows, dml.Constraints(defaults=rules.defaults, generated=rules.generated))
             dml.checked(new, rules, self._parents())
         made = dml.completed(rows, t.data, rules)
+        fired = None
+        if self._triggers(name, "INSERT"):
+            fired = (made if conflict != "ignore" else new.exceptAll(before)).select(_struct("new", t.data, t.data.columns), _struct("old", t.data, None)).checkpoint()
+            self._fire("BEFORE", "INSERT", name, fired)
         # ids that come from a query needn't be in its order: the largest new one is the last
         added = made if conflict != "ignore" else new.exceptAll(before)
         self._changed.append(added)
@@ -387,6 +583,7 @@ class Connection:
             self._inserted = added.agg(F.max(key_column))
         result = self._returning(p, name, made)
         self._store(name, new)
+        self._fire("AFTER", "INSERT", name, fired)
         return result
 
     def _returning(self, p: Parser, name: str, rows: DataFrame) -> Cursor:
@@ -411,7 +608,10 @@ class Connection:
             kind = p.name().lower()
             maybe = p.accept("IF", "EXISTS")
             name = p.table_name()
-            if kind == "index":
+            if kind == "trigger":
+                if self.catalog.triggers.pop(name.lower(), None) is None and not maybe:
+                    raise SqlError(f"no such trigger: {name}")
+            elif kind == "index":
                 if not self.catalog.drop_index(name) and not maybe:
                     raise SqlError(f"no such index: {name}")
             elif name.lower() in self.catalog.tables or name.lower() in self.catalog.views:
@@ -453,7 +653,9 @@ class Connection:
         kind = p.name().lower()
         maybe = p.accept("IF", "NOT", "EXISTS")
         name = p.table_name()
-        if kind == "index":
+        if kind == "trigger":
+            self._define_trigger(p, name, maybe)
+        elif kind == "index":
             p.expect("ON")
             table = p.name()
             self.catalog.create_index(table, name, tuple(p.names()), unique)
@@ -586,6 +788,24 @@ class Connection:
         return of_table[name](arg) if name in of_table and arg is not None else None
 
 
+def _struct(name: str, data: DataFrame, columns: list[str] | None):
+    """Columns as one struct; without columns it is null."""
+    made = F.struct(*(F.col(f"`{c}`") for c in data.columns))
+    return (made if columns is not None else F.when(F.lit(False), made)).alias(name)
+
+
+def _plan_rows(tree: str) -> list[tuple[int, int, int, str]]:
+    """(id, parent, 0, detail) of the lines of a physical plan: the steps below a step come after it."""
+    out, above = [], []
+    for i, line in enumerate(filter(str.strip, tree.splitlines()), 1):
+        depth = len(line) - len(line.lstrip(" :+-"))
+        while above and above[-1][0] >= depth:
+            above.pop()
+        out.append((i, above[-1][1] if above else 0, 0, line.lstrip(" :+-")))
+        above.append((depth, i))
+    return out
+
+
 def _mentions(q, name: str) -> bool:
     """Whether a query reads a table of that name."""
     if isinstance(q, dict):

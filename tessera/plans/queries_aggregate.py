@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 from tessera.operators import aggregates as A
 from tessera.operators.relational import group_with_bare
-from tessera.plans.base import portable, query
+from tessera.plans.base import portable, query, statement
 from tessera.session import table
 
-portable("a1_hash_aggregate", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_returnflag")
-portable("a2_two_keys", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority")
-portable("a3_global_empty", "SELECT count(*) AS n, max(o_orderkey) AS m, sum(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")
+statement("a1_hash_aggregate", "SELECT l_returnflag, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY l_returnflag")
+statement("a2_two_keys", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY o_orderstatus, o_orderpriority")
+statement("a3_global_empty", "SELECT count(*) AS n, max(o_orderkey) AS m, sum(o_totalprice) AS s FROM orders WHERE o_orderkey < 0")
 portable("a4_group_by_alias", "SELECT year(o_orderdate) AS y, count(*) AS n FROM orders GROUP BY y")
-portable("a4_group_by_ordinal", "SELECT c_nationkey % 5 AS bucket, count(*) AS n FROM customer GROUP BY 1")
-portable("a5_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 14 AND min(o_totalprice) < 20000")
-portable("a7_counts", "SELECT count(*) AS everything, count(nullif(o_orderstatus, 'O')) AS some, count(DISTINCT o_custkey) AS customers FROM orders")
-portable("a8_sum", "SELECT c_nationkey, CAST(sum(c_custkey) AS BIGINT) AS keys, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_nationkey")
-portable("a9_avg", "SELECT p_brand, round(avg(p_size), 6) AS size, round(avg(p_retailprice), 6) AS price FROM part GROUP BY p_brand")
-portable("a11_min_max", "SELECT p_brand, min(p_name) AS first_name, max(p_retailprice) AS top FROM part GROUP BY p_brand")
-portable("a15_distinct_aggregates", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
-portable("a16_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled, round(sum(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 2) AS rest FROM orders GROUP BY o_orderpriority")
+statement("a4_group_by_ordinal", "SELECT c_nationkey % 5 AS bucket, count(*) AS n FROM customer GROUP BY 1")
+statement("a5_having", "SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey HAVING count(*) > 14 AND min(o_totalprice) < 20000")
+statement("a7_counts", "SELECT count(*) AS everything, count(nullif(o_orderstatus, 'O')) AS some, count(DISTINCT o_custkey) AS customers FROM orders")
+statement("a8_sum", "SELECT c_nationkey, CAST(sum(c_custkey) AS BIGINT) AS keys, round(sum(c_acctbal), 2) AS balance FROM customer GROUP BY c_nationkey")
+statement("a9_avg", "SELECT p_brand, round(avg(p_size), 6) AS size, round(avg(p_retailprice), 6) AS price FROM part GROUP BY p_brand")
+statement("a11_min_max", "SELECT p_brand, min(p_name) AS first_name, max(p_retailprice) AS top FROM part GROUP BY p_brand")
+statement("a15_distinct_aggregates", "SELECT l_returnflag, count(DISTINCT l_suppkey) AS suppliers, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS lines FROM lineitem GROUP BY l_returnflag")
+statement("a16_filter", "SELECT o_orderpriority, count(*) FILTER (WHERE o_orderstatus = 'F') AS filled, round(sum(o_totalprice) FILTER (WHERE o_orderstatus <> 'F'), 2) AS rest FROM orders GROUP BY o_orderpriority")
 portable("a18_grouping_sets", "SELECT o_orderstatus, o_orderpriority, count(*) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
 
 

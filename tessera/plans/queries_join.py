@@ -6,23 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import natural_join, range_join
-from tessera.plans.base import portable, query
+from tessera.plans.base import portable, query, statement
 from tessera.session import table
 
-portable("j1_inner", "SELECT c_name, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND c_acctbal > 9000")
-portable("j1_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
-portable("j2_lookup", "SELECT o.o_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey IN (1, 2, 3, 77)")
-portable("j3_hash", "SELECT s.s_nationkey, count(*) AS n, round(sum(l.l_extendedprice), 2) AS price FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_nationkey")
-portable("j4_theta", "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
-portable("j5_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000")
-portable("j6_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'")
-portable("j7_full", "SELECT c.c_custkey AS left_key, s.s_suppkey AS right_key FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey * 30")
-portable("j8_using_full", "SELECT k, a.x, b.y FROM (SELECT c_custkey AS k, c_name AS x FROM customer) a FULL JOIN (SELECT o_custkey * 2 AS k, max(o_orderkey) AS y FROM orders GROUP BY o_custkey) b USING (k)")
-portable("j10_semi", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
-portable("j11_anti_null_aware", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 4) FROM orders)")
-portable("j12_nested", "SELECT r.r_name, count(*) AS n FROM region r JOIN (nation n JOIN customer c ON c.c_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
-portable("j13_self", "SELECT a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
-portable("j13_many_tables", "SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name")
+statement("j1_inner", "SELECT c_name, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND c_acctbal > 9000")
+statement("j1_cross", "SELECT r_name, n_name FROM region CROSS JOIN nation")
+statement("j2_lookup", "SELECT o.o_orderkey, l.l_linenumber FROM orders o JOIN lineitem l ON l.l_orderkey = o.o_orderkey WHERE o.o_orderkey IN (1, 2, 3, 77)")
+statement("j3_hash", "SELECT s.s_nationkey, count(*) AS n, round(sum(l.l_extendedprice), 2) AS price FROM lineitem l JOIN supplier s ON l.l_suppkey = s.s_suppkey GROUP BY s.s_nationkey")
+statement("j4_theta", "SELECT a.n_name AS low, b.n_name AS high FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+statement("j5_left", "SELECT c.c_custkey, o.o_orderkey FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey AND o.o_totalprice > 200000")
+statement("j6_right", "SELECT o.o_orderkey, c.c_custkey FROM orders o RIGHT JOIN customer c ON o.o_custkey = c.c_custkey AND o.o_orderstatus = 'P'")
+statement("j7_full", "SELECT c.c_custkey AS left_key, s.s_suppkey AS right_key FROM customer c FULL JOIN supplier s ON c.c_custkey = s.s_suppkey * 30")
+statement("j8_using_full", "SELECT k, a.x, b.y FROM (SELECT c_custkey AS k, c_name AS x FROM customer) a FULL JOIN (SELECT o_custkey * 2 AS k, max(o_orderkey) AS y FROM orders GROUP BY o_custkey) b USING (k)")
+statement("j10_semi", "SELECT s_suppkey FROM supplier WHERE s_suppkey IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49)")
+statement("j11_anti_null_aware", "SELECT count(*) AS n FROM customer WHERE c_custkey NOT IN (SELECT nullif(o_custkey, 4) FROM orders)")
+statement("j12_nested", "SELECT r.r_name, count(*) AS n FROM region r JOIN (nation n JOIN customer c ON c.c_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
+statement("j13_self", "SELECT a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
+statement("j13_many_tables", "SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name")
 portable("j14_lateral", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 
 

@@ -6,16 +6,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.operators.relational import compound, order_limit
-from tessera.plans.base import portable, query
+from tessera.plans.base import portable, query, statement
 from tessera.session import table
 
-portable("o1_order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 25")
-portable("o3_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
-portable("o5_offset", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 15 OFFSET 30")
-portable("o6_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
-portable("o7_union", "SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey * 30 FROM supplier")
-portable("o7_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey * 30 FROM supplier")
-portable("o7_except", "SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey * 30 FROM supplier")
+statement("o1_order_by", "SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC NULLS LAST, c_custkey LIMIT 25")
+statement("o3_top_k", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 10")
+statement("o5_offset", "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice, p_partkey LIMIT 15 OFFSET 30")
+statement("o6_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+statement("o7_union", "SELECT o_custkey AS k FROM orders UNION SELECT s_suppkey * 30 FROM supplier")
+statement("o7_intersect", "SELECT o_custkey AS k FROM orders INTERSECT SELECT s_suppkey * 30 FROM supplier")
+statement("o7_except", "SELECT o_custkey AS k FROM orders EXCEPT SELECT s_suppkey * 30 FROM supplier")
 
 
 @query("SELECT k FROM ((SELECT n_nationkey AS k FROM nation UNION SELECT r_regionkey + 100 FROM region) INTERSECT SELECT s_nationkey FROM supplier)")

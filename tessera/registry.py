@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.plans.base import ORACLE_SQL, QUERIES, query
-from tessera.plans import queries_aggregate, queries_expression, queries_function, queries_join, queries_json, queries_scan, queries_set, queries_table, queries_window  # noqa: F401
+from tessera.plans import queries_aggregate, queries_dialect, queries_expression, queries_function, queries_join, queries_json, queries_scan, queries_set, queries_table, queries_window  # noqa: F401
 from tessera.session import table
 
 

@@ -55,6 +55,10 @@ select date('2024-02-29', '+1 year'), datetime('2024-01-31 10:00', 'start of mon
 select id, row_number() over (order by id), sum(salary) over (partition by dept order by id), lag(name) over (order by id) from emp order by id
 select id, rank() over w, dense_rank() over w, count(*) over (w rows between 1 preceding and current row) from emp window w as (order by salary) order by id
 select id, sum(salary) filter (where bonus > 1) over (order by id) from emp order by id
+select id, sum(salary) over (partition by dept order by salary groups between 1 preceding and 1 following), count(*) over (order by salary groups between unbounded preceding and current row) from emp order by id
+select id, sum(salary) over (order by dept range between unbounded preceding and current row exclude ties), count(salary) over (order by dept range unbounded preceding exclude group), avg(salary) over (order by dept range between unbounded preceding and unbounded following exclude current row) from emp order by id
+select id, total(bonus) over (order by id rows between 1 preceding and 1 following exclude current row), sum(bonus) over (order by id rows between 1 preceding and 1 following exclude current row) from emp order by id
+select dept, max(bonus), name from emp where id = 3 or id = 8 group by dept order by dept
 with t(a, b) as (values (1, 'x'), (2, 'y')) select b, a from t order by a
 with recursive c(n) as (select 1 union all select n + 1 from c where n < 6) select n, n * n from c order by n
 with recursive c(n) as (select 1 union select (n * 2) % 7 from c) select n from c order by n
@@ -204,6 +208,31 @@ def test_conflicts_views_indexes_and_counters(spark):
     assert own.execute("pragma encoding").fetchone() == ("UTF-8",) and own.execute("pragma page_size").fetchone() == (4096,)
 
 
+def test_triggers(spark):
+    own, lite = connect(spark), sqlite3.connect(":memory:")
+    script = [
+        "create table t(id integer primary key, n integer, s text)", "create table log(what text, id integer, a integer, b integer)", "create table twin(id integer primary key, n integer)",
+        "create trigger ti after insert on t when new.n > 1 begin insert into log values ('ins', new.id, null, new.n); insert into twin select new.id, new.n * 10 where new.s is not null; end",
+        "create trigger tu after update of n on t begin insert into log(what, id, a, b) values ('upd', old.id, old.n, new.n), ('again', new.id, case when new.n > 5 then 1 else 0 end, 0); update twin set n = new.n where id = new.id; end",
+        "create trigger td before delete on t begin delete from twin where id = old.id; insert into log values ('del', old.id, old.n, (select count(*) from twin)); end",
+        "create trigger guard before insert on t when new.n < 0 begin select raise(abort, 'no negatives'); end",
+        "insert into t values (1, 1, 'a'), (2, 2, 'b'), (3, 3, null), (4, 9, 'd')", "update t set n = n + 4 where id >= 3", "update t set s = 'z'", "delete from t where id = 4",
+        "create view v as select id, n from t", "create trigger vi instead of insert on v begin insert into t values (new.id, new.n, 'via'); end",
+        "create trigger vd instead of delete on v begin delete from t where id = old.id; end", "insert into v values (50, 5)", "delete from v where id = 1", "drop trigger tu", "update t set n = 0 where id = 2",
+    ]
+    for s in script:
+        own.execute(s)
+        lite.execute(s)
+    for q in ("select * from t order by id", "select * from log order by 1, 2, 3", "select * from twin order by 1", "select name from sqlite_master where type = 'trigger' order by 1"):
+        assert own.execute(q).fetchall() == lite.execute(q).fetchall(), q
+    with pytest.raises(Exception, match="no negatives"):
+        own.execute("insert into t values (60, -1, 'x')")
+    assert own.execute("select count(*) from t where id = 60").fetchone() == (0,)
+    for bad in ("update v set n = 1", "create trigger x after insert on v begin select 1; end", "select raise(abort, 'x')", "select count(distinct n) over () from t", "select a.id from t a left join t b on a.id = c.id join t c on 1"):
+        with pytest.raises(SqlError):
+            own.execute(bad)
+
+
 def test_foreign_key_actions(spark):
     script = [
         "pragma foreign_keys = on", "create table p(id integer primary key, code text unique)", "insert into p values (1, 'a'), (2, 'b'), (3, 'c'), (9, 'z')",
@@ -236,7 +265,9 @@ def test_foreign_keys_parameters_and_errors(spark):
     for bad in ("select nope from k", "select * from missing", "selec 1", "select 1 +", "select id from k having 1", "select 1; select 2", "select 1 union select 1, 2"):
         with pytest.raises(SqlError):
             own.execute(bad)
-    assert "Physical Plan" in own.execute("explain query plan select * from k").fetchone()[0]
+    assert "Physical Plan" in own.execute("explain select * from k").fetchone()[0]
+    steps = own.execute("explain query plan select p, count(*) from k group by p").fetchall()
+    assert steps[0][:3] == (1, 0, 0) and len(steps) > 2 and all(parent < i for i, parent, _, _ in steps)
 
 
 def test_python_functions():
