@@ -92,9 +92,11 @@ class Connection:
         self._running: list[str] = []  # triggers
         self._changed: list[DataFrame] = []  # rows that statements changed, counted when asked for
         self._total, self._last, self._inserted = 0, 0, None
-        for name, cls in (("tessera_json_each", _Each), ("tessera_json_tree", _Tree)):
-            self.spark.udtf.register(name, F.udtf(cls, returnType=EACH))
-        python.register(self.spark)
+        if not getattr(self.spark, "_tessera_functions", False):  # once a session
+            for name, cls in (("tessera_json_each", _Each), ("tessera_json_tree", _Tree)):
+                self.spark.udtf.register(name, F.udtf(cls, returnType=EACH))
+            python.register(self.spark)
+            self.spark._tessera_functions = True
 
     def register(self, name: str, data: DataFrame, types: dict[str, str] | None = None) -> None:
         """Make a DataFrame a table."""
