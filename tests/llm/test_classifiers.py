@@ -59,3 +59,25 @@ def test_toxicity_on_held_out(spark):
     assert sum(r.predicted == int(r.doc_id % 4 == 0) for r in own) >= 0.97 * len(own)
     assert not any(r.predicted for r in got if r.doc_id >= 1000)
     assert toxicity_scores(spark, docs.limit(0), labels).count() == 0
+
+
+def test_samples_do_not_depend_on_the_partitioning(spark):
+    """Near copies that share a key, ties and repeated rows at the sample's edge: the same rows stay."""
+    from tessera.llm.sampling import labelled_sample
+
+    rows = [(i, f"the same words in every text again and again number {i % 4}") for i in range(80)] + [(5, "the same words in every text again and again number 1")] * 3
+    labels = spark.createDataFrame([(i, i % 2) for i in range(80)] + [(5, 1), (6, None)], "doc_id long, quality int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = [sorted(map(tuple, labelled_sample(docs.repartition(n), labels, "quality", 5, 15)[0].collect())) for n in (1, 3, 7)]
+    assert made[0] == made[1] == made[2] and made[0]
+
+
+def test_lexicon_folds_and_excepts():
+    from tessera.llm.toxicity import EXCEPTIONS, SEEDS, Lexicon, fold
+
+    for form in ("IDIOT", "ídíöt", "1d10t", "іdіоt", "\U0001d422\U0001d41d\U0001d422\U0001d428\U0001d42d", "\uff29\uff24\uff29\uff2f\uff34", "id\u200biot", "\u0131diot"):
+        assert fold(form) == ["idiot"], form
+    plain = Lexicon(SEEDS, {})
+    assert plain.weigh("an idiot")[1] == 1 and all(plain.weigh(p)[1] == 0 for p in EXCEPTIONS)
+    many = Lexicon(SEEDS, {}).weigh("trash can " * 20_000 + "trash")
+    assert many[1] == 1

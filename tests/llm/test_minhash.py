@@ -100,3 +100,10 @@ def test_null_ids_link_like_others(spark, monkeypatch, small):
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()
     assert brute(rows, 3, 85) == sorted((r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got)
     assert sorted((r.doc_id or 0, r.component_id, r.kept) for r in got if r.component_id) == [(0, 3, False)] * 3 + [(3, 3, True), (5, 3, False)]
+
+
+def test_very_long_texts(spark):
+    long = [f"w{i}" for i in range(60_000)]
+    rows = [(1, " ".join(long)), (2, " ".join(long[:-20])), (3, " ".join(reversed(long))), (4, "w1 " * 50_000)]
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect()}
+    assert [got[i].component_id for i in (1, 2, 3, 4)] == [1, 1, 3, 4] and got[4].n_shingles == 1 and got[1].n_shingles == 59_998
