@@ -1,7 +1,7 @@
 """Toxicity by a weighted lexicon, matched by Aho-Corasick over folded text.
 
-Folding takes compatibility forms and accents apart, drops marks and invisible characters, lower-cases, maps
-look-alike letters of other scripts to Latin ones, and undoes digit substitutions. Lexicon entries are whole words or word beginnings with a log-odds weight,
+Folding replaces compatibility forms, drops loose marks and invisible characters, lower-cases, maps look-alike
+letters of other scripts to Latin ones, undoes digit substitutions and takes accents off known insults. Lexicon entries are whole words or word beginnings with a log-odds weight,
 learned from labelled training documents beside the seed list. Hits inside exception phrases don't count.
 The weight sum over the logarithm of the length goes through a logistic curve.
 """
@@ -58,11 +58,12 @@ _WORD = re.compile(r"[^\W_]+")
 
 
 def fold(text: str | None) -> list[str]:
-    """The folded words of a text."""
+    """The folded words of a text. Accents tell words apart in many languages, so they go only where a known insult is left."""
     text = text or ""
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKD", text))
-    return _WORD.findall(text.lower().translate(_FOLD))
+    if text.isascii():
+        return _WORD.findall(text.lower().translate(_FOLD))
+    found = _WORD.findall(_UNSEEN.sub("", unicodedata.normalize("NFKC", text)).lower().translate(_FOLD))
+    return [w if w.isascii() or (bare := _UNSEEN.sub("", unicodedata.normalize("NFKD", w))) not in SEEDS else bare for w in found]
 
 
 @dataclass
