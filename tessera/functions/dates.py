@@ -46,6 +46,11 @@ def from_julian(x: str) -> str:
     return f"cast(round(({x} - 2440587.5D) * 86400000) as bigint)"
 
 
+def from_either(x: str) -> str:
+    """A Julian day where the number can be one, else seconds since 1970."""
+    return f"case when {x} >= 0 and {x} < 5373484.5D then {from_julian(x)} when {x} between -210866760000L and 253402300799L then {from_unix(x)} end"
+
+
 def _date(ms: str) -> str:
     return f"date_from_unix_date(cast(floor({ms} / 86400000.0D) as int))"
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tessera.functions.core import real_text
+
 
 def total(x: str) -> Column:
     """Sum as a double; 0.0 without values."""
@@ -25,7 +27,7 @@ def group_concat(x: str, separator: str = ",", order: list[str] | None = None, d
 
 def json_value(x: str, kind: str) -> str:
     """SQL: JSON text of a value; kind: text, integer, real or json (already JSON text)."""
-    body = {"text": f"to_json(struct({x} as v))", "integer": f"cast({x} as string)", "real": f"cast({x} as string)", "json": x}[kind]
+    body = {"text": f"to_json(struct({x} as v))", "integer": f"cast({x} as string)", "real": f"({real_text(x)})", "json": x}[kind]
     if kind == "text":
         body = f"substring({body}, 6, length({body}) - 6)"
     return f"if({x} is null, 'null', {body})"

@@ -106,6 +106,24 @@ select name from emp where name glob substr(name, 1, 1) || '*' order by id
 select 'b' glob '[c-a]', 'b' glob '[a-c]', 'b' glob '[^c-a]', '-' glob '[a-]', ']' glob '[]]'
 select rowid, name from emp where rowid between 2 and 3 order by rowid
 select e.rowid, e._rowid_ from emp e where e.oid = 4
+select not null, null and 1, null or 1, not (null and 0), case when null then 1 else 2 end
+select x'61' = 'a', x'61' > 5, 'b' < x'00', x'61' > 'z'
+select 12345678.5 || '', 0.00012 || '', 1.5e-7 || '', 123456789012.25 || '', -1e20 || '', cast(2e7 as text), 1e7 || '', quote(1e7), json_array(1e7)
+select id from emp where salary < 'abc' and not (salary = 'abc') order by id
+select id, salary is 'abc', salary in ('x', 90), salary not in ('x'), bonus <> dept, dept >= bonus from emp order by id
+select e.id from emp e left join dept d on e.salary = d.name where d.name is null order by 1
+select count(*) from json_each('[10,9,2.5,"x"]') where value > 9
+select typeof(id), key from json_each('[10,9,100]') order by value
+select key + 0 from json_each('[10,9,100]') order by value desc
+select cast(max(value) as integer), cast(min(value) as integer) from json_each('[10,9,100]')
+select sign('x'), sign('4'), sign(-2.5), sign(null)
+select datetime(2460000.5, 'auto'), datetime(1700000000, 'auto'), datetime('2460000.5'), datetime('1700000000', 'unixepoch', '+1 day')
+select w from cs union all select b from cs order by 1
+select count(*) from (select b from cs union select w from cs)
+select upper(w) from cs where id < 3 union select name from emp order by 1
+select id, sum(salary) over (order by dept groups between unbounded preceding and 1 following exclude ties), count(*) over (order by dept groups between 1 preceding and 1 following exclude group) from emp order by id
+select id, max(salary) over (order by dept groups between 1 preceding and current row), sum(salary) over (order by salary range between 20 preceding and 5 following exclude ties) from emp where salary is not null order by id
+select id, sum(bonus) over (partition by dept order by boss rows between unbounded preceding and unbounded following exclude group) from emp order by id
 select length(randomblob(20)), typeof(randomblob(3))
 select hex('a'), quote('it''s'), char(65, 66), unicode('A'), trim('  x '), ltrim('xxy', 'x')
 """
