@@ -77,6 +77,18 @@ class Cursor:
         return self._iterate()
 
 
+def _stored_as(x: str, given: str, to: str, is_rowid: bool) -> str:
+    """A value as a column takes it: texts of whole numbers fit integers; a row's id takes nothing but numbers that are whole."""
+    text = f"try_cast({x} as {to})"
+    if to == "bigint" and given.startswith("string"):
+        real = f"try_cast({x} as double)"
+        text = f"coalesce({text}, if({real} = floor({real}), try_cast({real} as bigint), null))"
+    if is_rowid and given.startswith(("string", "double", "decimal", "binary")):
+        whole = f"{text} <=> {x}" if given.startswith(("double", "decimal")) else f"{text} is not null"
+        return f"if({x} is null or {whole}, {text}, raise_error('datatype mismatch'))"
+    return text
+
+
 class Connection:
     """Statements run at once; a query's rows are computed when they are fetched."""
 
@@ -187,7 +199,12 @@ class Connection:
         return self._translator().query(p.query())[0]
 
     def _run(self, p: Parser) -> Cursor:
-        word = p.peek()
+        word, start = p.peek(), p.i
+        if word == "WITH":
+            ctes, recursive = p.with_clause()
+            if p.peek() in ("INSERT", "REPLACE", "UPDATE", "DELETE"):
+                return self._change_with(p, ctes, recursive)
+            p.i = start
         if word in ("SELECT", "VALUES", "WITH"):
             out = self._query(p.query())
         elif p.accept("EXPLAIN"):
@@ -229,6 +246,19 @@ class Connection:
             raise SqlError(f"near {p.t[p.i][1]!r}: syntax error")
         return Cursor(out)
 
+    def _change_with(self, p: Parser, ctes: list, recursive: bool) -> Cursor:
+        """A change whose queries see named ones, which count as tables as long as it runs."""
+        made = {}
+        for i, (name, _, _) in enumerate(ctes):
+            everything = {"kind": "select", "items": [(("star", None), "*")], "from": [("table", name, None, "comma", None)]}
+            made[name.lower()] = self._query(_select(everything | {"ctes": ctes[: i + 1], "recursive": recursive}))
+        before = dict(self._extra)
+        self._extra.update(made)
+        try:
+            return self._change(p)
+        finally:
+            self._extra = before
+
     def _query(self, q: dict) -> DataFrame:
         # recursion with UNION, an order or a limit inside is iterated; Spark's own handles UNION ALL
         special = [n for n, _, sub in q.get("ctes") or [] if q["recursive"] and sub["kind"] == "compound" and _mentions(sub["right"], n) and (sub["op"] == "UNION" or sub["limit"])]
@@ -543,7 +573,14 @@ class Connection:
             rows = self._query(self._over_fired(q) if self._fired else q)
             if len(rows.columns) != len(cols):
                 raise SqlError(f"{len(rows.columns)} values for {len(cols)} columns")
-            rows = rows.select(*(F.expr(f"try_cast({ident(o)} as {t.data.schema[n].dataType.simpleString()})").alias(n) for o, n in zip(rows.columns, cols, strict=True)))
+            given = rows.schema
+            rows = rows.select(*(F.expr(_stored_as(ident(f.name), f.dataType.simpleString(), t.data.schema[n].dataType.simpleString(), n == self._lookup.rowid(name))).alias(n) for f, n in zip(given, cols, strict=True)))
+            if (number := self._lookup.rowid(name)) in cols and given[cols.index(number)].nullable:
+                # a NULL in place of an integer key is the next number
+                missing, kept = rows.filter(F.col(number).isNull()).drop(number), rows.filter(F.col(number).isNotNull())
+                if not missing.isEmpty():
+                    ids = t.data.select(number).unionAll(kept.select(number))
+                    rows = kept.unionByName(dml.new_rowids(missing.withColumn("_o", F.monotonically_increasing_id()), ids, number, ["_o"]).drop("_o"))
         rules = self._rules(t)
         key = t.primary_key or (rules.unique[0] if rules.unique else ())
         if len(t.primary_key) == 1 and affinity(t.types[t.primary_key[0]]) == "INTEGER" and t.primary_key[0] not in cols:
