@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators.relational import natural_join, range_join
-from tessera.plans.base import portable, query, statement
+from tessera.operators.relational import lateral_top, natural_join, range_join
+from tessera.plans.base import query, statement
 from tessera.session import table
 
 statement("j1_inner", "SELECT c_name, n_name FROM customer, nation WHERE c_nationkey = n_nationkey AND c_acctbal > 9000")
@@ -23,7 +23,6 @@ statement("j11_anti_null_aware", "SELECT count(*) AS n FROM customer WHERE c_cus
 statement("j12_nested", "SELECT r.r_name, count(*) AS n FROM region r JOIN (nation n JOIN customer c ON c.c_nationkey = n.n_nationkey) ON n.n_regionkey = r.r_regionkey GROUP BY r.r_name")
 statement("j13_self", "SELECT a.s_suppkey AS one, b.s_suppkey AS two FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey")
 statement("j13_many_tables", "SELECT n.n_name, round(sum(l.l_extendedprice * (1 - l.l_discount)), 2) AS revenue FROM customer c JOIN orders o ON c.c_custkey = o.o_custkey JOIN lineitem l ON l.l_orderkey = o.o_orderkey JOIN supplier s ON l.l_suppkey = s.s_suppkey AND c.c_nationkey = s.s_nationkey JOIN nation n ON s.s_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey GROUP BY n.n_name")
-portable("j14_lateral", "SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
 
 
 @query("SELECT n_regionkey, n_nationkey, n_name, r_name FROM (SELECT * FROM nation) NATURAL JOIN (SELECT r_regionkey AS n_regionkey, r_name FROM region)")
@@ -36,3 +35,11 @@ def j4_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A theta join over intervals as a hash join over bins."""
     bands = spark.range(900, 2000, 50).select(F.col("id").cast("double").alias("lo"), (F.col("id") + 35).cast("double").alias("hi"))
     return range_join(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), bands, "p_retailprice", "lo", "hi", 50).select("p_partkey", "lo")
+
+
+@query("SELECT c.c_custkey, t.o_orderkey FROM customer c, LATERAL (SELECT o_orderkey FROM orders o WHERE o.o_custkey = c.c_custkey ORDER BY o_totalprice DESC, o_orderkey LIMIT 2) t")
+def j14_lateral(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two dearest orders of each customer, NULLs last as the oracle has them."""
+    customers = table(spark, sf_dir, "customer").select("c_custkey")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice")
+    return lateral_top(customers, orders, "c_custkey", "o_custkey", [F.desc_nulls_last("o_totalprice"), F.asc_nulls_last("o_orderkey")], 2).select("c_custkey", "o_orderkey")

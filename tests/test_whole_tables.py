@@ -32,3 +32,17 @@ def test_set_operations_of_whole_tables(spark):
     ordering, suppliers = rows("select o_custkey from {orders}"), rows("select s_suppkey * 30 from {supplier}")
     assert got["union"] == ordering | suppliers and got["intersect"] == ordering & suppliers and got["except"] == ordering - suppliers
     assert ordering - suppliers and suppliers - ordering and got["intersect"]
+
+
+def test_lateral_keeps_order_through_spills(spark, tmp_path):
+    # runs spilled every 50 rows come back in no order of their own, like blocks from other executors
+    duckdb.sql(f"copy (select i as c_custkey from range(20) t(i)) to '{tmp_path}/customer.parquet'")
+    duckdb.sql(f"copy (select i as o_orderkey, i % 20 as o_custkey, cast(hash(i) % 500 as double) as o_totalprice from range(20000) t(i)) to '{tmp_path}/orders.parquet'")
+    want = duckdb.sql(registry.ORACLE_SQL["j14_lateral"].replace("customer c", f"'{tmp_path}/customer.parquet' c").replace("orders o", f"'{tmp_path}/orders.parquet' o")).fetchall()
+    conf, key = spark.sparkContext._jsc.sc().conf(), "spark.shuffle.spill.numElementsForceSpillThreshold"
+    conf.set(key, "50")
+    try:
+        got = [tuple(r) for r in registry.QUERIES["j14_lateral"](spark, str(tmp_path)).collect()]
+    finally:
+        conf.remove(key)
+    assert len(want) == 40 and sorted(got) == sorted(want)
